@@ -22,8 +22,12 @@ from .common import WordIds, components, stored, window_ids
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 #: Pairs between groups that a region may yield for each set in it before it is split by the next minhash.
 PAIRS_PER_SET = 40
-#: Bits that the sketches of two sets may differ in, of 256: at similarity 0.85 the mean is 19.2, the deviation 4.2.
-MOST_BITS = 44
+
+
+def most_bits(percent: int) -> int:
+    """Bits that the sketches of two sets may differ in, of 256: 5.5 deviations above the mean at the least similarity."""
+    far = 1 - percent / 100
+    return round(128 * far + 5.5 * (128 * far * (0.5 + 1 - far)) ** 0.5)
 
 
 def shingles(text: str, known: WordIds, n: int) -> np.ndarray:
@@ -106,6 +110,8 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("label", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "order")
     rows = sets.select("_doc", "n_shingles", "bits", tree).repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "_doc")
 
+    bound = most_bits(percent)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for batch in batches:
@@ -119,7 +125,7 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
             bits = np.array(batch["bits"].tolist(), np.int64).view(np.uint8)
             far = np.unpackbits(bits[1:] ^ bits[:-1], axis=1).sum(axis=1)
             near = np.array([x[:4] == y[:4] for x, y in zip(order[1:], order[:-1], strict=True)])
-            ok = near & (tree[1:] == tree[:-1]) & (far <= MOST_BITS) & (100 * np.minimum(size[1:], size[:-1]) >= percent * np.maximum(size[1:], size[:-1]))
+            ok = near & (tree[1:] == tree[:-1]) & (far <= bound) & (100 * np.minimum(size[1:], size[:-1]) >= percent * np.maximum(size[1:], size[:-1]))
             yield pd.DataFrame({"a": np.minimum(doc[1:], doc[:-1])[ok], "b": np.maximum(doc[1:], doc[:-1])[ok], "far": far[ok].astype(np.int32)})
 
     found = rows.mapInPandas(run, "a long, b long, far int")
@@ -142,7 +148,7 @@ def regions(sets: DataFrame, percent: int) -> DataFrame:
         size = stored(size.select(p, (F.col("n") * F.col("n") - F.col("n2") <= 2 * PAIRS_PER_SET * F.col("n")).alias("few") if d < DEPTH else F.lit(True).alias("few")), "regions")
         here = rest.join(size.where("few").select(p), p)
         x, y = (here.select(p, *[F.col(c).alias(f"{c}_{s}") for c in ("_doc", "n_shingles", "bits", "root")]) for s in "ab")
-        pairs = x.join(y, p).where((F.col("_doc_a") < F.col("_doc_b")) & (F.col("root_a") != F.col("root_b")) & sizes_fit("n_shingles_a", "n_shingles_b", percent) & (apart("bits_a", "bits_b") <= MOST_BITS))
+        pairs = x.join(y, p).where((F.col("_doc_a") < F.col("_doc_b")) & (F.col("root_a") != F.col("root_b")) & sizes_fit("n_shingles_a", "n_shingles_b", percent) & (apart("bits_a", "bits_b") <= most_bits(percent)))
         pairs = pairs.select(F.col("_doc_a").alias("a"), F.col("_doc_b").alias("b"))
         out = pairs if out is None else out.unionByName(pairs)
         crowded = size.where("not few")
