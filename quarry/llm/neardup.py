@@ -4,8 +4,9 @@ Every distinct shingle set has TREES labels of DEPTH minhashes. In each tree the
 sets with a long common prefix are neighbours. First every set is held against its nearest neighbour over all
 trees, which joins most groups of near copies by one link a document. Then each region (sets that share a
 prefix) yields the pairs that are still in different groups; a region's depth adapts: it is the least for which
-such pairs are few for its size, or the full depth. So a group of thousands of near copies costs a link each,
-and a crowd that shares boilerplate is told apart by longer prefixes. All candidates are confirmed on full sets.
+such pairs are few for its size. Sets in regions that stay crowded at REGION_DEPTH meet by an exact way instead:
+two sets similar enough share one of their rarest shingles (the prefix filter of set joins), whatever the crowd
+has in common. So a group of thousands of near copies costs some links each. All candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import WordIds, components, stored, window_ids
 
-TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
+TREES, DEPTH, LEAST_DEPTH, REGION_DEPTH = 16, 8, 4, 6
 #: Pairs between groups that a region may yield for each set in it before it is split by the next minhash.
-PAIRS_PER_SET = 40
+PAIRS_PER_SET = 4
+#: Counters by which a crowd's shingles are ordered from rare to frequent; the driver holds them.
+COUNTERS = 1 << 20
 
 
 def most_bits(percent: int) -> int:
@@ -134,28 +137,70 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
     return best.unionByName(other).distinct()
 
 
-def regions(sets: DataFrame, percent: int) -> DataFrame:
+def regions(sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between groups: sets that share a region, at the depth that adapts to the region."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = sets.select("_doc", "n_shingles", "bits", "root", "label", tree)
+    depths = range(LEAST_DEPTH, REGION_DEPTH + 1)
     prefix = lambda d: F.xxhash64("tree", F.lit(d), F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * d})"))
-    rows = rows.select("_doc", "n_shingles", "bits", "root", *[prefix(d).alias(f"p{d}") for d in range(LEAST_DEPTH, DEPTH + 1)])
-    out, rest = None, rows
-    for d in range(LEAST_DEPTH, DEPTH + 1):
+    rest = rows.select("_doc", "n_shingles", "bits", "root", *[prefix(d).alias(f"p{d}") for d in depths])
+    out = None
+    for d in depths:
         p = f"p{d}"
         groups = rest.groupBy(p, "root").agg(F.count("*").alias("n"))
         size = groups.groupBy(p).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("groups")).where("groups > 1")
-        size = stored(size.select(p, (F.col("n") * F.col("n") - F.col("n2") <= 2 * PAIRS_PER_SET * F.col("n")).alias("few") if d < DEPTH else F.lit(True).alias("few")), "regions")
-        here = rest.join(size.where("few").select(p), p)
-        x, y = (here.select(p, *[F.col(c).alias(f"{c}_{s}") for c in ("_doc", "n_shingles", "bits", "root")]) for s in "ab")
-        pairs = x.join(y, p).where((F.col("_doc_a") < F.col("_doc_b")) & (F.col("root_a") != F.col("root_b")) & sizes_fit("n_shingles_a", "n_shingles_b", percent) & (apart("bits_a", "bits_b") <= most_bits(percent)))
-        pairs = pairs.select(F.col("_doc_a").alias("a"), F.col("_doc_b").alias("b"))
+        size = stored(size.select(p, (F.col("n") * F.col("n") - F.col("n2") <= 2 * PAIRS_PER_SET * F.col("n")).alias("few")), "regions")
+        pairs = between(rest.join(size.where("few").select(p), p), p, percent)
         out = pairs if out is None else out.unionByName(pairs)
         crowded = size.where("not few")
-        if d < DEPTH and crowded.isEmpty():
-            break
-        rest = stored(rest.join(crowded.select(p), p), "crowded") if d < DEPTH else rest
-    return out.distinct()
+        if crowded.isEmpty():
+            return out.distinct()
+        rest = stored(rest.join(crowded.select(p), p), "crowded")
+    crowd = stored(rest.select("_doc", "n_shingles", "bits", "root").dropDuplicates(["_doc"]), "crowd")
+    return out.unionByName(between(rare_shingles(crowd, docs, n, percent), "p", percent)).distinct()
+
+
+def between(rows: DataFrame, p: str, percent: int) -> DataFrame:
+    """Pairs with the same p, of different groups, that sizes and sketches leave possible."""
+    x, y = (rows.select(p, *[F.col(c).alias(f"{c}_{s}") for c in ("_doc", "n_shingles", "bits", "root")]) for s in "ab")
+    possible = (F.col("_doc_a") < F.col("_doc_b")) & (F.col("root_a") != F.col("root_b")) & sizes_fit("n_shingles_a", "n_shingles_b", percent) & (apart("bits_a", "bits_b") <= most_bits(percent))
+    return x.join(y, (x[p] == y[p]) & possible).select(F.col("_doc_a").alias("a"), F.col("_doc_b").alias("b"))
+
+
+def rare_shingles(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(p, _doc, n_shingles, bits, root): for each set of a crowd its rarest shingles, as many as a pair must share one of.
+
+    Any order of shingles serves, if all sets use the same; frequency in the crowd, counted in COUNTERS cells, puts
+    what the crowd has in common last. A set of m shingles takes m - ceil(percent m / 100) + 1.
+    """
+    texts = docs.join(crowd, "_doc").select("_doc", "_text", "n_shingles", "bits", "root")
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, cells = WordIds(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for s in batch["_text"]:
+                cells[(shingles(s, known, n) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        at = np.flatnonzero(cells)
+        yield pd.DataFrame({"cell": at, "n": cells[at]})
+
+    counts = texts.select("_text").mapInPandas(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    cells = np.zeros(COUNTERS, np.int64)
+    cells[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+    shared = crowd.sparkSession.sparkContext.broadcast(cells)
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordIds()
+        for batch in batches:
+            out = []
+            for _, r in batch.iterrows():
+                ids = shingles(r["_text"], known, n)
+                often = shared.value[(ids % np.uint64(COUNTERS)).astype(np.int64)]
+                rare = ids[np.lexsort((ids, often))][: len(ids) - -(-percent * len(ids) // 100) + 1]
+                out.append(pd.DataFrame({"p": rare.view(np.int64), "_doc": r["_doc"], "n_shingles": r["n_shingles"], "bits": [r["bits"]] * len(rare), "root": r["root"]}))
+            if out:
+                yield pd.concat(out)
+
+    return texts.mapInPandas(choose, "p long, _doc long, n_shingles long, bits array<long>, root long")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -176,7 +221,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = confirmed(nearest(sets, percent), texts, words, percent)
     groups = components(links)
     rooted = sets.join(groups.withColumnRenamed("id", "_doc"), "_doc", "left").withColumn("root", F.coalesce("root", "_doc"))
-    more = confirmed(regions(stored(rooted, "rooted"), percent), texts, words, percent)
+    more = confirmed(regions(stored(rooted, "rooted"), texts, words, percent), texts, words, percent)
     final = components(links.unionByName(more).unionByName(same))
     out = facts.join(final.withColumnRenamed("id", "_doc"), "_doc", "left")
     component = F.coalesce("root", "_doc")
