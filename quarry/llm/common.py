@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While jobs run inside, tasks hand that many rows at once to Python: long texts then need little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes tables made by stored() that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -61,7 +74,7 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
 class WordIds(dict):
     """64-bit ids of words given as bytes. Forgets all when large, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

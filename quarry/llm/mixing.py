@@ -46,7 +46,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     totals = rows.groupBy(F.col(source).alias("source"), F.shiftright("_h", 44).alias("_cell")).agg(F.sum("size").alias("_in"), F.count("*").alias("_n"))
     totals = stored(totals, "mix-cells")  # at most 2**20 cells a source, fewer than rows
     n = totals.agg(F.sum("_n")).first()[0] or 0
-    bits = min(20, max(0, (n // BUCKET_ROWS).bit_length()))  # of the hash that name a bucket
+    bits = min(20, max(1, (n // BUCKET_ROWS).bit_length()))  # of the hash that name a bucket
     bucket = lambda x, width: F.shiftright(x, width - bits)
     goals = targets(totals.groupBy("source").agg(F.sum("_in").alias("source_size")), weights, share, most)
     buckets = totals.groupBy("source", bucket("_cell", 20).alias("_bucket")).agg(F.sum("_in").alias("_in"))

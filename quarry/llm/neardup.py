@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordIds, components, stored, window_ids
@@ -23,8 +23,6 @@ from .common import WordIds, components, stored, window_ids
 TREES, DEPTH, LEAST_DEPTH, REGION_DEPTH = 16, 8, 4, 6
 #: Pairs between groups that a region may yield for each set in it before it is split by the next minhash.
 PAIRS_PER_SET = 4
-#: Counters by which a crowd's shingles are ordered from rare to frequent; the driver holds them.
-COUNTERS = 1 << 20
 
 
 def most_bits(percent: int) -> int:
@@ -170,37 +168,24 @@ def between(rows: DataFrame, p: str, percent: int) -> DataFrame:
 def rare_shingles(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(p, _doc, n_shingles, bits, root): for each set of a crowd its rarest shingles, as many as a pair must share one of.
 
-    Any order of shingles serves, if all sets use the same; frequency in the crowd, counted in COUNTERS cells, puts
-    what the crowd has in common last. A set of m shingles takes m - ceil(percent m / 100) + 1.
+    A set of m shingles takes the m - ceil(percent m / 100) + 1 that are in the fewest sets of the crowd; those in no
+    other set fill places without making pairs, so a set with enough of its own meets nobody. Ties go by hash.
     """
-    texts = docs.join(crowd, "_doc").select("_doc", "_text", "n_shingles", "bits", "root")
+    texts = docs.join(crowd.select("_doc"), "_doc", "left_semi")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, cells = WordIds(), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for s in batch["_text"]:
-                cells[(shingles(s, known, n) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-        at = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": at, "n": cells[at]})
-
-    counts = texts.select("_text").mapInPandas(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
-    cells = np.zeros(COUNTERS, np.int64)
-    cells[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    shared = crowd.sparkSession.sparkContext.broadcast(cells)
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordIds()
         for batch in batches:
-            out = []
-            for _, r in batch.iterrows():
-                ids = shingles(r["_text"], known, n)
-                often = shared.value[(ids % np.uint64(COUNTERS)).astype(np.int64)]
-                rare = ids[np.lexsort((ids, often))][: len(ids) - -(-percent * len(ids) // 100) + 1]
-                out.append(pd.DataFrame({"p": rare.view(np.int64), "_doc": r["_doc"], "n_shingles": r["n_shingles"], "bits": [r["bits"]] * len(rare), "root": r["root"]}))
-            if out:
-                yield pd.concat(out)
-
-    return texts.mapInPandas(choose, "p long, _doc long, n_shingles long, bits array<long>, root long")
+            ids = [shingles(s, known, n) for s in batch["_text"]]
+            yield pd.DataFrame({"p": np.concatenate(ids).view(np.int64), "_doc": np.repeat(batch["_doc"].to_numpy(), [len(x) for x in ids])})
+
+    found = stored(texts.select("_doc", "_text").mapInPandas(each, "p long, _doc long"), "crowd-shingles").distinct()
+    often = found.groupBy("p").agg(F.count("*").alias("df")).where("df > 1")
+    shared = found.join(often, "p").join(crowd, "_doc")
+    own = Window.partitionBy("_doc")
+    place = F.row_number().over(own.orderBy("df", "p")) + F.col("n_shingles") - F.count("*").over(own)
+    most = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
+    return shared.withColumn("_place", place).where(F.col("_place") <= most).select("p", "_doc", "n_shingles", "bits", "root")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85) -> DataFrame:

@@ -39,7 +39,7 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = lambda p: F.when(F.col(text).rlike(p), F.zip_with(F.regexp_extract_all(text, F.lit(p), 0), F.split(text, p, -1), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("length"), m.isNotNull().alias("match"))))
     value = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), 2), F.length)
     hits = docs.select(*row_key(doc_id, text), *[found(p).alias(k) for k, p in KINDS.items()], F.when(F.col(text).rlike(ASSIGN), value).alias("value"))
-    hits = hits.where(F.coalesce(*[F.col(k).isNotNull() & F.lit(True) for k in KINDS]) & F.greatest(*[F.col(k).isNotNull() for k in KINDS]))
+    hits = hits.where(F.greatest(*[F.col(k).isNotNull() for k in KINDS]))
     hits = hits.groupBy("_key", "_hash").agg(*[F.first(k).alias(k) for k in [*KINDS, "value"]])  # repeated rows count once
     rows = None
     for rank, k in enumerate(KINDS):

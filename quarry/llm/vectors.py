@@ -85,9 +85,14 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["block"].iloc[0])
         a, b = group[group["left"]], group[~group["left"]]
-        none = pd.DataFrame({"key": [], "links": [], "a": [], "b": []})
+        names = ["key", "links", "a", "b"]
+
+        def frame(**columns):  # whole numbers stay whole beside nulls
+            n = len(next(iter(columns.values())))
+            return pd.DataFrame({c: pd.array(columns.get(c, [None] * n), "Int64") for c in names})
+
         if not len(a) or not len(b):
-            return none
+            return frame(key=[])
         xa, xb = np.stack(a["v"]), np.stack(b["v"])
         ya, yb = rotated(xa), rotated(xb)
         parts, most = cuts(xa.shape[1]), budgets(xa.shape[1], cosine)
@@ -120,12 +125,11 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
                     if x != z:
                         edges[x] = z
                         forest.append((i, j))
-        out = [pd.DataFrame({"key": ka[la > 0], "links": la[la > 0]}), pd.DataFrame({"key": kb[lb > 0], "links": lb[lb > 0]})]
+        out = [frame(key=ka[la > 0], links=la[la > 0]), frame(key=kb[lb > 0], links=lb[lb > 0])]
         if forest:
             i, j = np.array(forest).T
-            out.append(pd.DataFrame({"a": ia.iloc[i].to_numpy(), "b": ib.iloc[j].to_numpy()}))
-        out = pd.concat([none, *out])
-        return out.astype({"key": "Int64", "links": "Int64", "a": "Int64", "b": "Int64"})
+            out.append(frame(a=ia.iloc[i].to_numpy(), b=ib.iloc[j].to_numpy()))
+        return pd.concat(out)
 
     def root(up, x):
         while (y := up.get(x, x)) != x:
