@@ -425,7 +425,7 @@ def positional_sample(t):
     return detect.positional_sample(t, "c_custkey", 90).select("c_custkey")
 
 
-@query("customer", sql="SELECT c_mktsegment, 100::BIGINT AS n FROM customer GROUP BY 1")
+@query("customer", sql="SELECT c_mktsegment, least(100, count(*))::BIGINT AS n FROM customer GROUP BY 1")
 def stratified_sample_counts(t):
     return detect.stratified_sample(t, "c_mktsegment", "c_custkey", 500).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 

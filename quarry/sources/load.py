@@ -27,7 +27,7 @@ def sniff_encoding(data: bytes) -> str:
         return "UTF-8"
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "UTF-16"
-    for cut in range(4):  # a character may be cut at the end
+    for cut in range(4 if len(data) >= 50_000 else 1):  # a long head may end inside a character
         try:
             data[: len(data) - cut].decode("utf-8")
             return "UTF-8"
