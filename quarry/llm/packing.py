@@ -67,16 +67,13 @@ def encoder(path: str, separator: int):
             return [separator]
         if odd(text):
             return [*t.encode(text, add_special_tokens=False).ids, separator]
-        found, out = pieces(text), []
-        try:
-            for p in found:
-                out += known[p]
-        except KeyError:
-            if len(known) > 200_000:
-                known.clear()
-            new = list({p for p in found if p not in known})
+        found = pieces(text)
+        if len(known) > 500_000:
+            known.clear()
+        new = list(set(found).difference(known))
+        if new:
             known.update(zip(new, (e.ids for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
-            out = [i for p in found for i in known[p]]
+        out = [i for p in found for i in known[p]]
         out.append(separator)
         return out
 
