@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from .common import stored
 
 #: Tokens that a shard packs: memory of a packing task is one entry a window that is still open.
 SHARD_TOKENS = 1 << 24
+#: Words whose ids a generation of a worker's memory holds, and text that is tokenised at a time.
+MOST_WORDS, BATCH_CHARS = 400_000, 2_000_000
 
 
 class OpenWindows:
@@ -47,11 +52,14 @@ class OpenWindows:
         return capacity, self.at[capacity].pop()
 
 
+@lru_cache(maxsize=2)
 def encoder(path: str, separator: int):
-    """texts -> id lists, each closed by separator, equal to the tokenizer file's own encoding.
+    """texts -> ids of each as bytes (<u4), closed by separator, equal to the tokenizer file's own encoding.
 
     Byte-level BPE splits text into words before merging; a run of non-blanks with the one space before it is
-    encoded alike wherever it stands, so its ids are remembered. Texts with the special token's string, or with
+    encoded alike wherever it stands, so its ids are remembered: in two generations of at most MOST_WORDS, of which
+    the older goes when the younger is full. A worker keeps them from task to task. Texts are cut at single spaces,
+    or by the pattern where a space stands between blanks. Texts with the special token's string, or with
     the control characters on whose being blank libraries differ, go through the tokenizer whole.
     """
     import re
@@ -59,23 +67,35 @@ def encoder(path: str, separator: int):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    pieces, odd = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall, re.compile(r"<\|endoftext\|>|[\x1c-\x1f\x85]").search
-    known: dict[str, list[int]] = {}
+    pieces, odd = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall, re.compile(r"<\|endoftext\|>|[\x00\x1c-\x1f\x85]").search
+    among_blanks = re.compile(r" (?<=\s )(?:\s|\Z)").search
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
+    close = np.array([separator], "<u4").tobytes()
 
-    def encode(text: str | None) -> list[int]:
+    def raw(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def cut(text: str | None) -> list[str] | None:
         if not text:
-            return [separator]
+            return []
         if odd(text):
-            return [*t.encode(text, add_special_tokens=False).ids, separator]
-        found = pieces(text)
-        if len(known) > 500_000:
-            known.clear()
-        new = list(set(found).difference(known))
-        if new:
-            known.update(zip(new, (e.ids for e in t.encode_batch(new, add_special_tokens=False)), strict=True))
-        out = [i for p in found for i in known[p]]
-        out.append(separator)
-        return out
+            return None
+        return pieces(text) if among_blanks(text) else text.replace(" ", "\0 ").split("\0")
+
+    def encode(texts: list[str | None]) -> list[bytes]:
+        found = [cut(s) for s in texts]
+        new = set().union(*[f for f in found if f]).difference(young)
+        if len(young) + len(new) > MOST_WORDS:
+            old.clear()
+            old.update(young)
+            young.clear()
+            new = set().union(*[f for f in found if f])
+        again = new.intersection(old)
+        young.update((w, old[w]) for w in again)
+        new = list(new.difference(again))
+        young.update(zip(new, raw(new), strict=True))
+        return [(raw([s])[0] if f is None else b"".join(map(young.__getitem__, f))) + close for s, f in zip(texts, found, strict=True)]
 
     return encode
 
@@ -90,23 +110,25 @@ def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
-        import zlib
-
-        import numpy as np
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode = encoder(tokenizer, separator)
         for batch in batches:
-            rows = []
-            for d, s in zip(batch[doc_id].array, batch[text].array, strict=True):
-                ids = np.array(encode(None if s is pd.NA else s), "<u4")
-                for i in range(0, len(ids), window):
-                    p = ids[i : i + window]
-                    rows.append((None if pd.isna(d) else d, len(ids), i, len(p), zlib.crc32(p.tobytes()), *([p.astype("int32")] if keep_ids else [])))
-                if len(rows) > 20_000:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
+            for part in parts(batch):
+                rows = []
+                for d, ids in zip(part[doc_id].array, encode([None if s is pd.NA else s for s in part[text].array]), strict=True):
+                    n = len(ids) // 4
+                    for i in range(0, n, window):
+                        p = ids[4 * i : 4 * (i + window)]
+                        rows.append((None if pd.isna(d) else d, n, i, len(p) // 4, zlib.crc32(p), *([np.frombuffer(p, "<i4")] if keep_ids else [])))
+                yield frame(rows)
+
+    def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows of a batch, about BATCH_CHARS of text at a time."""
+        if len(batch):
+            number = batch[text].str.len().fillna(0).cumsum() // BATCH_CHARS
+            for _, part in batch.groupby(number, sort=False):
+                yield part
 
     columns = [doc_id, "doc_tokens", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
 

@@ -315,3 +315,20 @@ def test_pipeline(spark, tmp_path):
     single = c.near(spark, plain, "")
     assert {r.doc_id for r in single.collect()} == set(range(60)) and single.columns == df.columns
     assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} <= set(range(60))
+
+
+def test_encoder_equals_the_tokenizer(monkeypatch):
+    """Words remembered in small generations, among odd blanks and special strings, give the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    from quarry.llm import packing
+
+    monkeypatch.setattr(packing, "MOST_WORDS", 40)
+    encode, whole = packing.encoder.__wrapped__(packing.tokenizer_path(), 0), Tokenizer.from_file(packing.tokenizer_path())
+    rng = np.random.default_rng(3)
+    parts = np.array(["a", "b", " ", "  ", "\n", "\t", "é", " ", "'s", "1", "\0", "\x85", "<|endoftext|>", " x"])
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(2000)]
+    for i in range(0, len(texts), 50):
+        for text, ids in zip(texts[i : i + 50], encode(texts[i : i + 50]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+    assert encode([None, ""]) == [bytes(4), bytes(4)]
