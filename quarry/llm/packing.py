@@ -16,7 +16,7 @@ from .common import stored
 #: Tokens that a shard packs: memory of a packing task is one entry a window that is still open.
 SHARD_TOKENS = 1 << 24
 #: Words whose ids a generation of a worker's memory holds, and text that is tokenised at a time.
-MOST_WORDS, BATCH_CHARS = 400_000, 2_000_000
+MOST_WORDS, BATCH_CHARS = 800_000, 2_000_000
 
 
 class OpenWindows:
