@@ -41,10 +41,11 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     hits = docs.select(*row_key(doc_id, text), *[found(p).alias(k) for k, p in KINDS.items()], F.when(F.col(text).rlike(ASSIGN), value).alias("value"))
     hits = hits.where(F.greatest(*[F.col(k).isNotNull() for k in KINDS]))
     hits = hits.groupBy("_key", "_hash").agg(*[F.first(k).alias(k) for k in [*KINDS, "value"]])  # repeated rows count once
-    rows = None
-    for rank, k in enumerate(KINDS):
-        part = hits.where(F.col(k).isNotNull()).select("_key", "_hash", F.lit(rank).alias("rank"), F.posexplode(k).alias("n", "m"), (F.get("value", F.col("n")) if k == "assign" else F.lit(min_value)).alias("value"))
-        rows = part if rows is None else rows.unionByName(part)
+    none = F.lit(None).cast("array<int>")
+    kind = F.array(*[F.struct(F.lit(rank).alias("rank"), F.col(k).alias("m"), (F.col("value") if k == "assign" else none).alias("value")) for rank, k in enumerate(KINDS)])
+    rows = hits.select("_key", "_hash", F.explode(kind).alias("kind"))  # all kinds in one pass over the texts
+    rows = rows.select("_key", "_hash", F.col("kind.rank").alias("rank"), F.col("kind.value").alias("_values"), F.posexplode("kind.m").alias("n", "m"))
+    rows = rows.select("_key", "_hash", "rank", "n", "m", F.when(F.col("rank") == 0, F.get("_values", F.col("n"))).otherwise(F.lit(min_value)).alias("value"))
     before = Window.partitionBy("_key", "_hash", "rank").orderBy("n")
     rows = rows.where("m.match").select("*", (F.sum(F.col("m.gap") + F.col("m.length")).over(before)).alias("end")).where(F.col("value") >= min_value)
     rows = rows.select("_key", "_hash", "rank", (F.col("end") - F.col("m.length")).alias("start"), "end")
