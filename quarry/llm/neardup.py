@@ -3,26 +3,28 @@
 Every distinct shingle set has TREES labels of DEPTH minhashes. In each tree the sets stand sorted by label, so
 sets with a long common prefix are neighbours. First every set is held against its nearest neighbour over all
 trees, which joins most groups of near copies by one link a document. Then each region (sets that share a
-prefix) yields the pairs that are still in different groups; a region's depth adapts: it is the least for which
-such pairs are few for its size. Sets in regions that stay crowded at REGION_DEPTH meet by an exact way instead:
-two sets similar enough share one of their rarest shingles (the prefix filter of set joins), whatever the crowd
-has in common. So a group of thousands of near copies costs some links each. All candidates are confirmed on full sets.
+prefix) yields the pairs that are still in different groups; a region's depth adapts: where they are many for its
+sets, it is split by the next minhash until it fits a tile, and its tiles are held against each other inside tasks,
+which return only links that join groups. All candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordIds, components, stored, window_ids
 
-TREES, DEPTH, LEAST_DEPTH, REGION_DEPTH = 16, 8, 4, 6
-#: Pairs between groups that a region may yield for each set in it before it is split by the next minhash.
-PAIRS_PER_SET = 4
+TREES, DEPTH, LEAST_DEPTH, REGION_DEPTH = 16, 8, 4, 5
+#: Pairs between groups that a region may yield for each set in it before it is a crowd.
+PAIRS_PER_SET = 2
+#: Sets and bytes of shingle ids that a tile of a crowd holds on average.
+TILE_SETS, TILE_BYTES = 2048, 1 << 24
 
 
 def most_bits(percent: int) -> int:
@@ -136,26 +138,29 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def regions(sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between groups: sets that share a region, at the depth that adapts to the region."""
+    """Confirmed links (a, b) between groups: sets that share a region, at the depth that adapts to the region."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     rows = sets.select("_doc", "n_shingles", "bits", "root", "label", tree)
     depths = range(LEAST_DEPTH, REGION_DEPTH + 1)
     prefix = lambda d: F.xxhash64("tree", F.lit(d), F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * d})"))
-    rest = rows.select("_doc", "n_shingles", "bits", "root", *[prefix(d).alias(f"p{d}") for d in depths])
-    out = None
+    rest = rows.select("tree", "_doc", "n_shingles", "bits", "root", *[prefix(d).alias(f"p{d}") for d in depths])
+    pairs, crowds = [], []
     for d in depths:
         p = f"p{d}"
         groups = rest.groupBy(p, "root").agg(F.count("*").alias("n"))
         size = groups.groupBy(p).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), F.count("*").alias("groups")).where("groups > 1")
-        size = stored(size.select(p, (F.col("n") * F.col("n") - F.col("n2") <= 2 * PAIRS_PER_SET * F.col("n")).alias("few")), "regions")
-        pairs = between(rest.join(size.where("few").select(p), p), p, percent)
-        out = pairs if out is None else out.unionByName(pairs)
-        crowded = size.where("not few")
-        if crowded.isEmpty():
-            return out.distinct()
-        rest = stored(rest.join(crowded.select(p), p), "crowded")
-    crowd = stored(rest.select("_doc", "n_shingles", "bits", "root").dropDuplicates(["_doc"]), "crowd")
-    return out.unionByName(between(rare_shingles(crowd, docs, n, percent), "p", percent)).distinct()
+        few, fits = F.col("n") * F.col("n") - F.col("n2") <= 2 * PAIRS_PER_SET * F.col("n"), (F.col("n") <= TILE_SETS) | F.lit(d == REGION_DEPTH)
+        size = stored(size.select(p, F.when(few, "few").when(fits, "crowd").otherwise("deeper").alias("way")), "regions")
+        way = lambda x: rest.join(size.where(F.col("way") == x).select(p), p)  # noqa: B023, E731
+        pairs.append(between(way("few"), p, percent))
+        crowds.append(way("crowd").select("tree", "_doc", F.col(p).alias("p")))
+        deeper = size.where("way = 'deeper'")
+        if deeper.isEmpty():
+            break
+        rest = stored(way("deeper"), "deeper")
+    crowd = stored(reduce(DataFrame.unionByName, crowds), "crowd")
+    links = confirmed(reduce(DataFrame.unionByName, pairs).distinct(), docs, n, percent)
+    return links.unionByName(crowd_links(crowd, sets, docs, n, percent))
 
 
 def between(rows: DataFrame, p: str, percent: int) -> DataFrame:
@@ -165,27 +170,77 @@ def between(rows: DataFrame, p: str, percent: int) -> DataFrame:
     return x.join(y, (x[p] == y[p]) & possible).select(F.col("_doc_a").alias("a"), F.col("_doc_b").alias("b"))
 
 
-def rare_shingles(crowd: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(p, _doc, n_shingles, bits, root): for each set of a crowd its rarest shingles, as many as a pair must share one of.
+def crowd_links(crowd: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the groups of crowded regions, from rows (p, tree, _doc).
 
-    A set of m shingles takes the m - ceil(percent m / 100) + 1 that are in the fewest sets of the crowd; those in no
-    other set fill places without making pairs, so a set with enough of its own meets nobody. Ties go by hash.
+    A region is cut into tiles of bounded sets and bytes, and every two tiles meet in a task of their own, which holds
+    full sets against each other and returns a spanning forest: pairs of a crowd never leave a task. A pair that also
+    shares a region in an earlier tree is left to that one.
     """
-    texts = docs.join(crowd.select("_doc"), "_doc", "left_semi")
+    texts = docs.join(crowd.select("_doc").distinct(), "_doc", "left_semi")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordIds()
         for batch in batches:
-            ids = [shingles(s, known, n) for s in batch["_text"]]
-            yield pd.DataFrame({"p": np.concatenate(ids).view(np.int64), "_doc": np.repeat(batch["_doc"].to_numpy(), [len(x) for x in ids])})
-
-    found = stored(texts.select("_doc", "_text").mapInPandas(each, "p long, _doc long"), "crowd-shingles").distinct()
-    often = found.groupBy("p").agg(F.count("*").alias("df")).where("df > 1")
-    shared = found.join(often, "p").join(crowd, "_doc")
-    own = Window.partitionBy("_doc")
-    place = F.row_number().over(own.orderBy("df", "p")) + F.col("n_shingles") - F.count("*").over(own)
-    most = F.col("n_shingles") - F.ceil(percent * F.col("n_shingles") / 100) + 1
-    return shared.withColumn("_place", place).where(F.col("_place") <= most).select("p", "_doc", "n_shingles", "bits", "root")
+            yield pd.DataFrame({"_doc": batch["_doc"], "ids": [shingles(s, known, n).tobytes() for s in batch["_text"]]})
+
+    full = texts.select("_doc", "_text").mapInPandas(each, "_doc long, ids binary").dropDuplicates(["_doc"])
+    full = stored(full.join(sets.select("_doc", "n_shingles", "root", "bits", "label"), "_doc"), "crowd-sets")
+    rows = crowd.join(full.select("_doc", "n_shingles"), "_doc")
+    size = rows.groupBy("p").agg(F.count("*").alias("_sets"), F.sum("n_shingles").alias("_ids"))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("_sets") / TILE_SETS), F.ceil(F.col("_ids") * 8 / TILE_BYTES)).cast("long")
+    rows = rows.join(size.select("p", tiles.alias("_tiles")), "p").withColumn("_tile", F.pmod(F.xxhash64("_doc"), "_tiles"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_other")
+    rows = rows.select("p", "tree", "_doc", "_tile", other)
+    met = rows.select("p", "tree", "_doc", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), (F.col("_tile") <= F.col("_other")).alias("left"))
+    met = met.join(full, "_doc")
+    most = most_bits(percent)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_doc", ignore_index=True)
+        tree, same = int(group["tree"].iloc[0]), group["i"].iloc[0] == group["j"].iloc[0]
+        doc, size = group["_doc"].to_numpy(), group["n_shingles"].to_numpy()
+        bits = np.array(group["bits"].tolist(), np.int64).view(np.uint64)
+        labels = np.array([np.frombuffer(x, ">u4") for x in group["label"]]).reshape(-1, TREES, DEPTH)[:, :tree, :REGION_DEPTH]
+        ids = [np.frombuffer(x, np.uint64) for x in group["ids"]]
+        _, root = np.unique(group["root"].to_numpy(), return_inverse=True)
+        here = np.arange(len(doc))
+        a, b = (here, here) if same else (here[group["left"]], here[~group["left"]])
+        up, links = list(range(len(doc))), []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for k in range(0, len(a), 128):
+            u = a[k : k + 128]
+            ok = (root[u][:, None] != root[b]) & (100 * np.minimum(size[u][:, None], size[b]) >= percent * np.maximum(size[u][:, None], size[b]))
+            if same:
+                ok &= u[:, None] < b
+            x, y = np.nonzero(ok)
+            x, y = u[x], b[y]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most
+            x, y = x[near], y[near]
+            new = ~(labels[x] == labels[y]).all(axis=2).any(axis=1)
+            for v, w in zip(x[new].tolist(), y[new].tolist(), strict=True):
+                s, t = top(root[v]), top(root[w])
+                if s != t:
+                    common = shared(ids[v], ids[w])
+                    if 100 * common >= percent * (len(ids[v]) + len(ids[w]) - common):
+                        up[s] = t
+                        links.append((doc[v], doc[w]))
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return stored(met.groupBy("p", "i", "j").applyInPandas(meet, "a long, b long"), "crowd-links")
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many ids two sorted arrays of distinct ids have in common."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -206,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = confirmed(nearest(sets, percent), texts, words, percent)
     groups = components(links)
     rooted = sets.join(groups.withColumnRenamed("id", "_doc"), "_doc", "left").withColumn("root", F.coalesce("root", "_doc"))
-    more = confirmed(regions(stored(rooted, "rooted"), texts, words, percent), texts, words, percent)
+    more = regions(stored(rooted, "rooted"), texts, words, percent)
     final = components(links.unionByName(more).unionByName(same))
     out = facts.join(final.withColumnRenamed("id", "_doc"), "_doc", "left")
     component = F.coalesce("root", "_doc")
