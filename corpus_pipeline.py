@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs into sequences of 1024 tokens; ids are in the rows."""
-    return pack(docs, tokenizer=tokenizer_path())
+    return pack(docs, tokenizer=tokenizer_path(), most_words=200_000)  # ids travel too: leave them the memory
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near), ("mixing", mixing), ("packing", packing)]

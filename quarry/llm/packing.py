@@ -15,7 +15,7 @@ from .common import stored
 
 #: Tokens that a shard packs: memory of a packing task is one entry a window that is still open.
 SHARD_TOKENS = 1 << 24
-#: Words whose ids a generation of a worker's memory holds, and text that is tokenised at a time.
+#: Words whose ids a generation of a worker's memory holds if nothing else is said, and text that is tokenised at a time.
 MOST_WORDS, BATCH_CHARS = 800_000, 2_000_000
 
 
@@ -53,11 +53,11 @@ class OpenWindows:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, separator: int):
+def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
     """texts -> ids of each as bytes (<u4), closed by separator, equal to the tokenizer file's own encoding.
 
     Byte-level BPE splits text into words before merging; a run of non-blanks with the one space before it is
-    encoded alike wherever it stands, so its ids are remembered: in two generations of at most MOST_WORDS, of which
+    encoded alike wherever it stands, so its ids are remembered: in two generations of at most most_words, of which
     the older goes when the younger is full. A worker keeps them from task to task. Texts are cut at single spaces,
     or by the pattern where a space stands between blanks. Texts with the special token's string, or with
     the control characters on whose being blank libraries differ, go through the tokenizer whole.
@@ -86,7 +86,7 @@ def encoder(path: str, separator: int):
     def encode(texts: list[str | None]) -> list[bytes]:
         found = [cut(s) for s in texts]
         new = set().union(*[f for f in found if f]).difference(young)
-        if len(young) + len(new) > MOST_WORDS:
+        if len(young) + len(new) > most_words:
             old.clear()
             old.update(young)
             young.clear()
@@ -100,7 +100,7 @@ def encoder(path: str, separator: int):
     return encode
 
 
-def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True) -> DataFrame:
+def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """Tokenises and cuts: one row per piece (doc_id, doc_tokens, start, length, ids_crc32 and, if kept, ids).
 
     A document is its ids and the separator. Overlong documents are cut into full windows and a rest.
@@ -112,7 +112,7 @@ def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode = encoder(tokenizer, separator)
+        encode = encoder(tokenizer, separator, most_words)
         for batch in batches:
             for part in parts(batch):
                 rows = []
@@ -155,6 +155,7 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
     schema = rows.drop("_shard").schema.add("sequence_id", "long").add("offset", "long")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder.cache_clear()  # the worker may still hold the words of tokenising
         shard, windows, n = None, None, 0
         for batch in batches:
             ids, offsets = [], []
@@ -178,13 +179,14 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
     return rows.mapInPandas(fit, schema)
 
 
-def pack(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
     """Packs documents into sequences of at most window tokens: one row per piece.
 
     Columns: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids). Tokens are made once and
-    the pieces stored in the shared folder; packing moves ids only if they are kept. An empty table gives none.
+    the pieces stored in the shared folder; packing moves ids only if they are kept. A worker remembers the ids of up to
+    twice most_words words: more are faster, fewer take less memory. An empty table gives none.
     """
-    pieces = stored(pieces_of(docs, tokenizer=tokenizer, doc_id=doc_id, text=text, window=window, separator=separator, keep_ids=keep_ids), "pieces")
+    pieces = stored(pieces_of(docs, tokenizer=tokenizer, doc_id=doc_id, text=text, window=window, separator=separator, keep_ids=keep_ids, most_words=most_words), "pieces")
     return packed(pieces, doc_id=doc_id, window=window)
 
 
