@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import stored
 
@@ -101,12 +102,12 @@ def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
 
 
 def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
-    """Tokenises and cuts: one row per piece (doc_id, doc_tokens, start, length, ids_crc32 and, if kept, ids).
+    """Tokenises and cuts: one row per piece (doc_id, doc_tokens, start, length, ids_crc32 and, if kept, ids as little-endian 32-bit numbers).
 
     A document is its ids and the separator. Overlong documents are cut into full windows and a rest.
     Null text counts as empty: one piece, the separator alone.
     """
-    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, doc_tokens long, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, doc_tokens long, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -120,7 +121,7 @@ def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text:
                     n = len(ids) // 4
                     for i in range(0, n, window):
                         p = ids[4 * i : 4 * (i + window)]
-                        rows.append((None if pd.isna(d) else d, n, i, len(p) // 4, zlib.crc32(p), *([np.frombuffer(p, "<i4")] if keep_ids else [])))
+                        rows.append((None if pd.isna(d) else d, n, i, len(p) // 4, zlib.crc32(p), *([p] if keep_ids else [])))
                 yield frame(rows)
 
     def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -146,13 +147,15 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
     Pieces go to shards by hash; shards hold about SHARD_TOKENS tokens, so padding stays that of a large packing
     and no task grows with the input. A shard's pieces come longest first; each goes into the tightest window
     with room, or opens one. Order and so result hang on (length, id, start, crc) only; sequence ids carry their
-    shard in the high bits. Repeated rows are packed as often as they stand.
+    shard in the high bits. Ids, if there, come out as an array of numbers. Repeated rows are packed as often as they stand.
     """
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / SHARD_TOKENS))
     rows = pieces.withColumn("_shard", F.pmod(F.xxhash64(doc_id, "start", "ids_crc32"), F.lit(shards)))
     rows = rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.desc("length"), doc_id, "start", "ids_crc32")
     schema = rows.drop("_shard").schema.add("sequence_id", "long").add("offset", "long")
+    if "ids" in schema.names:
+        schema["ids"].dataType = ArrayType(IntegerType())
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder.cache_clear()  # the worker may still hold the words of tokenising
@@ -174,7 +177,12 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
                     windows.put(capacity - length, w)
             batch = batch.drop(columns="_shard")
             batch["sequence_id"], batch["offset"] = ids, offsets
-            yield batch
+            if "ids" in batch:  # handed on some at a time: as numbers they take several times the memory
+                for k in range(0, len(batch), 256):
+                    part = batch.iloc[k : k + 256]
+                    yield part.assign(ids=[np.frombuffer(x, "<i4") for x in part["ids"]])
+            else:
+                yield batch
 
     return rows.mapInPandas(fit, schema)
 
