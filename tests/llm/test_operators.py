@@ -332,3 +332,18 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
         for text, ids in zip(texts[i : i + 50], encode(texts[i : i + 50]), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
     assert encode([None, ""]) == [bytes(4), bytes(4)]
+
+
+def test_licenses_tell_names_versions_and_list_all(spark):
+    full = licenses.full_texts()
+    gpl = licenses.TEMPLATES["GPL-3.0"]
+    cases = [
+        ("Released under the BSD License", ["BSD-line"]), ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0-line"]), ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0-line"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0-line"]),
+        ("This work is licensed under the GNU General Public License, version 2", ["GPL-2.0-line"]), ("distributed under the terms of the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1-line"]), ("under the Mozilla Public License 2.0", ["MPL-2.0-line"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT-line", "Apache-2.0-line"]), ("Available under the MIT License or the Apache License, Version 2.0.", ["MIT-line", "Apache-2.0-line"]), ("She studied at MIT under a professor.", []), ("https://creativecommons.org/licenses/by-nc-sa/3.0/", ["CC-BY-NC-SA-3.0-line"]),
+        (licenses.TEMPLATES["MIT"] + " filler " * 20 + gpl, ["MIT", "GPL-3.0"]), (gpl.replace("version 3", "version 2"), ["GPL-2.0"]), (gpl.replace("version 3", "version 7"), ["GPL-line"]), (gpl.replace("General", "Affero General"), ["AGPL-3.0"]), (gpl + " x " + gpl, ["GPL-3.0", "GPL-3.0"]),
+        *[(f"Words before. {v} Words after.", [k]) for k, v in full.items()],
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(cases[i][0][:80], [x.license for x in got[i].spans]) for i in range(len(cases))] == [(t[:80], w) for t, w in cases]
+    assert got[11].spans[1].first_word > got[11].spans[0].last_word and got[9].license is None
