@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import row_key, stored
 from quarry.llm.lines import line_dedup
 from quarry.llm.mixing import mixed_documents
 from quarry.llm.neardup import near_duplicates
@@ -31,9 +31,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the least id, of each group of near duplicates; of repeated ids one row."""
-    keep = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document, the one with the least id (null last), of each group of near duplicates.
+
+    A document is a row by id and text: of rows equal in both one stays, and rows without id or with a repeated id
+    and other texts are documents of their own.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(*row_key("doc_id", "text")))
+    groups = near_duplicates(rows, doc_id="_row", percent=80).select("_row", "component_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")
+    keep = rows.select("_row", "doc_id").distinct().join(groups, "_row").groupBy("component_id").agg(least).select("m._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,13 @@ def test_licenses_tell_names_versions_and_list_all(spark):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
     assert [(cases[i][0][:80], [x.license for x in got[i].spans]) for i in range(len(cases))] == [(t[:80], w) for t, w in cases]
     assert got[11].spans[1].first_word > got[11].spans[0].last_word and got[9].license is None
+
+
+def test_pipeline_keeps_clean_rows_with_null_or_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    rows = [(None, prose(60, 900 + i), "a", "s", 0) for i in range(20)] + [(7, prose(60, 950 + i), "b", "s", 0) for i in range(20)]
+    extra = [(8, rows[3][1], "copy of a row without id", "s", 0), (5, rows[25][1], "copy under a lesser id", "s", 0), rows[0], rows[30]]
+    got = c.near(spark, spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    want = [r for i, r in enumerate(rows) if i not in (3, 25)] + extra[:2]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
