@@ -47,7 +47,7 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     Links vectors of equal length with a cosine of at least `cosine`, in double precision. A null or zero vector, or
     one with null or non-finite components, links with nothing. Equal vectors are one point with a count, so a
     group of copies is compared once; ids are whole numbers, and rows with one id count as rows in n_links and as
-    one id in components. A row without id counts as a row and has no component: component_id null, kept true.
+    one id in components. A row without id counts as a row, joins no others and has no component: component_id null, kept true.
     Crowded cells are cut into tiles and every two tiles meet in a task of their own.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -99,6 +99,7 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
         s = parts[block]
         ka, kb, home = a["key"].to_numpy(), b["key"].to_numpy(), b["home"].to_numpy()
         na, nb, ia, ib = a["n"].to_numpy(), b["n"].to_numpy(), a["id"], b["id"]
+        named_a, named_b = ia.notna().to_numpy(), ib.notna().to_numpy()
         la, lb, edges, forest = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), {}, []
         size_a, size_b = np.sqrt((xa * xa).sum(axis=1)), np.sqrt((xb * xb).sum(axis=1))
         square = (yb[:, s] ** 2).sum(axis=1)
@@ -120,6 +121,8 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
                 u, w = u[ok], w[ok]
                 np.add.at(la, u, nb[w])
                 np.add.at(lb, w, na[u])
+                ok = named_a[u] & named_b[w]  # a point without id joins nothing
+                u, w = u[ok], w[ok]
                 for i, j in zip(u, w, strict=True):  # a spanning forest: only links that join
                     x, z = root(edges, ka[i]), root(edges, kb[j])
                     if x != z:
@@ -140,7 +143,7 @@ def embedding_links(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     found = stored(met.groupBy("cell", "i", "j").applyInPandas(meet, "key long, links long, a long, b long"), "vector-links")
     links = found.where("key is not null").groupBy("key").agg(F.sum("links").alias("links"))
     same = rows.join(points.select(F.col("key").alias("point"), F.col("id").alias("a")), "point").select("a", F.col("id").alias("b")).where("a < b")
-    groups = components(found.where("a is not null and b is not null").select("a", "b").unionByName(same))
+    groups = components(found.where("a is not null").select("a", "b").unionByName(same))
     own = points.select("key", F.col("n") - 1).toDF("key", "copies").join(links, "key", "left").select(F.col("key").alias("point"), (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.select("id", "point").join(own, "point", "left").join(groups, "id", "left")
     component = F.coalesce("root", "id")

@@ -357,3 +357,13 @@ def test_pipeline_keeps_clean_rows_with_null_or_repeated_ids(spark):
     got = c.near(spark, spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
     want = [r for i, r in enumerate(rows) if i not in (3, 25)] + extra[:2]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_vectors_without_id_hide_no_link(spark):
+    r, rows = np.random.default_rng(11), []
+    for k in range(0, 80, 2):
+        x = r.standard_normal(16)
+        rows += [(i, (x + 0.01 * r.standard_normal(16)).tolist()) for i in (k, None, k + 1)]
+    got = vectors.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((q.vec_id, q.n_links, q.component_id, q.kept) for q in got if q.vec_id is not None) == [(i, 2, i - i % 2, i % 2 == 0) for i in range(80)]
+    assert [(q.n_links, q.component_id, q.kept) for q in got if q.vec_id is None] == [(2, None, True)] * 40
