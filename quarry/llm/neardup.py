@@ -1,6 +1,6 @@
 """Operator 1, MinHash near-dedup over an LSH forest.
 
-Every distinct shingle set has TREES labels of DEPTH minhashes. In each tree the sets stand sorted by label, so
+Every distinct shingle set has labels of DEPTH minhashes, one in each of trees_for(percent) trees. In each tree the sets stand sorted by label, so
 sets with a long common prefix are neighbours. First every set is held against its nearest neighbour over all
 trees, which joins most groups of near copies by one link a document. Then each region (sets that share a
 prefix) yields the pairs that are still in different groups; a region's depth adapts: where they are many for its
@@ -20,13 +20,30 @@ from pyspark.sql import functions as F
 
 from .common import WordIds, components, stored, window_ids
 
-TREES, DEPTH, LEAST_DEPTH, REGION_DEPTH = 16, 8, 4, 5
+DEPTH, LEAST_DEPTH, REGION_DEPTH = 8, 4, 5
+#: The chance to miss a pair at the least similarity: where regions are LEAST_DEPTH deep, and at any depth.
+MISS, DEEP_MISS = 1e-5, 1e-4
+#: Minhashes that give a sketch its 256 bits.
+SKETCH_HASHES = 128
 #: Pairs between groups that a region may yield for each set in it before it is a crowd.
 PAIRS_PER_SET = 2
 #: Sets and bytes of shingle ids that a tile of a crowd holds on average.
 TILE_SETS, TILE_BYTES = 2048, 1 << 24
 
 
+def missed(percent: int, trees: int, depth: int) -> float:
+    """The chance that a pair at the least similarity shares no label prefix of that depth in any tree."""
+    return (1 - (percent / 100) ** depth) ** trees
+
+
+def trees_for(percent: int) -> int:
+    """The fewest trees (never fewer than a sketch needs) that keep both bounds on misses, also in the deepest regions."""
+    trees = SKETCH_HASHES // DEPTH
+    while missed(percent, trees, LEAST_DEPTH) > MISS or missed(percent, trees, REGION_DEPTH) > DEEP_MISS:
+        trees += 1
+    return trees
+
+
 def most_bits(percent: int) -> int:
     """Bits that the sketches of two sets may differ in, of 256: 5.5 deviations above the mean at the least similarity."""
     far = 1 - percent / 100
@@ -46,10 +63,10 @@ def signature(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketched(docs: DataFrame, n: int) -> DataFrame:
+def sketched(docs: DataFrame, n: int, trees: int) -> DataFrame:
     """(_doc, n_shingles, s1, s2, labels, bits) of each (_doc, _text): set hash, labels of trees, one-bit sketch."""
     rng = np.random.default_rng(1)
-    a, b = (rng.integers(0, 1 << 63, TREES * DEPTH * k, np.uint64) for k in (1, 1))
+    a, b = (rng.integers(0, 1 << 63, trees * DEPTH * k, np.uint64) for k in (1, 1))
     a = a * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +81,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
                     rows.append((d, 0, None, None, None, None))
                     continue
                 sig, raw = signature(ids, a, b), ids.tobytes()
-                low = np.packbits(((sig[:, None] >> np.array([0, 16], np.uint64)) & np.uint64(1)).astype(np.uint8).ravel())
+                low = np.packbits(((sig[:SKETCH_HASHES, None] >> np.array([0, 16], np.uint64)) & np.uint64(1)).astype(np.uint8).ravel())
                 label = sig.astype(">u4").tobytes()
                 rows.append((d, len(ids), xxhash.xxh3_64_intdigest(raw, 1) - (1 << 63), xxhash.xxh3_64_intdigest(raw, 2) - (1 << 63), label, low.view(np.int64)))
             yield pd.DataFrame(rows, columns=["_doc", "n_shingles", "s1", "s2", "label", "bits"]).astype({"s1": "Int64", "s2": "Int64"})
@@ -110,7 +127,7 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
     Each tree is range-partitioned by label and sorted. A set's neighbours there have the longest common prefixes.
     The last row of a partition is not held against the first of the next; another tree, or the regions, will.
     """
-    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("label", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "order")
+    tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees_for(percent) - 1)), lambda t: F.substring("label", t * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))).alias("tree", "order")
     rows = sets.select("_doc", "n_shingles", "bits", tree).repartitionByRange("tree", "order").sortWithinPartitions("tree", "order", "_doc")
 
     bound = most_bits(percent)
@@ -139,7 +156,7 @@ def nearest(sets: DataFrame, percent: int) -> DataFrame:
 
 def regions(sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between groups: sets that share a region, at the depth that adapts to the region."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees_for(percent) - 1))).alias("tree")
     rows = sets.select("_doc", "n_shingles", "bits", "root", "label", tree)
     depths = range(LEAST_DEPTH, REGION_DEPTH + 1)
     prefix = lambda d: F.xxhash64("tree", F.lit(d), F.expr(f"substring(label, tree * {4 * DEPTH} + 1, {4 * d})"))
@@ -194,14 +211,14 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, docs: DataFrame, n: int, perc
     rows = rows.select("p", "tree", "_doc", "_tile", other)
     met = rows.select("p", "tree", "_doc", F.least("_tile", "_other").alias("i"), F.greatest("_tile", "_other").alias("j"), (F.col("_tile") <= F.col("_other")).alias("left"))
     met = met.join(full, "_doc")
-    most = most_bits(percent)
+    most, trees = most_bits(percent), trees_for(percent)
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_doc", ignore_index=True)
         tree, same = int(group["tree"].iloc[0]), group["i"].iloc[0] == group["j"].iloc[0]
         doc, size = group["_doc"].to_numpy(), group["n_shingles"].to_numpy()
         bits = np.array(group["bits"].tolist(), np.int64).view(np.uint64)
-        labels = np.array([np.frombuffer(x, ">u4") for x in group["label"]]).reshape(-1, TREES, DEPTH)[:, :tree, :REGION_DEPTH]
+        labels = np.array([np.frombuffer(x, ">u4") for x in group["label"]]).reshape(-1, trees, DEPTH)[:, :tree, :REGION_DEPTH]
         ids = [np.frombuffer(x, np.uint64) for x in group["ids"]]
         _, root = np.unique(group["root"].to_numpy(), return_inverse=True)
         here = np.arange(len(doc))
@@ -249,11 +266,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Documents are linked if 100 times the intersection of their shingle sets is at least percent times the union.
     Equal sets are one set from the start, whatever their number. Without words a document is empty and linked with
     nothing. Ids are whole numbers; a row without id takes no part: component_id null, kept true. Rows with one id
-    are one document: they share a component. At similarity 0.85 a pair shares a region of LEAST_DEPTH in at least
-    one tree with probability 0.99999.
+    are one document: they share a component. A pair at the least similarity shares a region in at least one tree with
+    probability 0.9999 or more, 0.99999 where regions are LEAST_DEPTH deep; trees_for(percent) has as many as it takes.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    facts = stored(sketched(rows, words), "sketches")
+    facts = stored(sketched(rows, words, trees_for(percent)), "sketches")
     named = facts.where("_doc is not null and n_shingles > 0")
     sets = stored(named.groupBy("s1", "s2").agg(F.min_by(F.struct("_doc", "n_shingles", "label", "bits"), "_doc").alias("m")).select("s1", "s2", "m.*"), "sets")
     same = named.join(sets.select("s1", "s2", F.col("_doc").alias("a")), ["s1", "s2"]).select("a", F.col("_doc").alias("b")).where("a < b")

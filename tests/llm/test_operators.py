@@ -367,3 +367,22 @@ def test_vectors_without_id_hide_no_link(spark):
     got = vectors.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted((q.vec_id, q.n_links, q.component_id, q.kept) for q in got if q.vec_id is not None) == [(i, 2, i - i % 2, i % 2 == 0) for i in range(80)]
     assert [(q.n_links, q.component_id, q.kept) for q in got if q.vec_id is None] == [(2, None, True)] * 40
+
+
+def test_near_duplicate_trees_keep_the_bound(spark):
+    for percent in (80, 85, 90):
+        trees = neardup.trees_for(percent)
+        assert neardup.missed(percent, trees, neardup.REGION_DEPTH) <= 1e-4 and neardup.missed(percent, trees, neardup.LEAST_DEPTH) <= 1e-5
+        label = neardup.sketched(spark.createDataFrame([(1, BASE)], "_doc long, _text string"), 5, trees).first().label
+        assert len(label) == 4 * neardup.DEPTH * trees
+
+
+def test_near_duplicates_at_80_in_deepened_regions(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE_SETS", 1)  # every crowd is deepened
+    monkeypatch.setattr(neardup, "PAIRS_PER_SET", 0)
+    rows = []
+    for i in range(200):  # pairs of 450 common shingles and 55 own ones each: similarity 0.8036
+        common, own = prose(454, 5000 + i), [prose(55, s + i) for s in (6000, 7000)]
+        rows += [(2 * i + k, f"{common} {x}") for k, x in enumerate(own)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
