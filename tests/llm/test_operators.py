@@ -386,3 +386,18 @@ def test_near_duplicates_at_80_in_deepened_regions(spark, monkeypatch):
         rows += [(2 * i + k, f"{common} {x}") for k, x in enumerate(own)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
     assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
+
+
+def test_lm_repeats_in_a_document_are_one_entry(spark):
+    w, h, d = (np.repeat(np.array([3, 3, 5], t), [10**6, 2, 1]) for t in (np.uint64, np.uint64, np.uint16))
+    d[: 10**6], d[10**6 :] = 0, 1
+    n, *columns = lm.merged(np.ones(len(w), np.uint8), w, h, d)
+    assert n.tolist() == [10**6, 2, 1] and [c.tolist() for c in columns] == [[3, 3, 5], [3, 3, 5], [0, 1, 1]]
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
+    rows = [(i, prose(50, i)) for i in train] + [(held, "only held out " * 20_000)]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    mass = got[held].train_tokens + len({x for _, t in rows[:-1] for x in t.split()}) + 2
+    p = 41 / mass  # the end, which each training document has once
+    assert (got[held].held_out, got[held].n_tokens, got[held].n_known) == (True, 60_001, 1)
+    assert abs(got[held].base_score - (60_000 * math.log10(1 / mass) + math.log10(p))) < 1e-3
