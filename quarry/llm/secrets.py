@@ -19,7 +19,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 SECRET = r"(?<![A-Za-z0-9/+=_.-])(?=[A-Za-z0-9/+]{0,39}[0-9])(?=[A-Za-z0-9/+]{0,39}[A-Z])(?=[A-Za-z0-9/+]{0,39}[a-z])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=_.-])"
-ENDPOINT = r"""\b(?:https?|wss?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,200}"""
+ENDPOINT = r"""\b(?:https?|wss?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{3,}"""
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "secret": SECRET, "endpoint": ENDPOINT}
 
 
@@ -32,7 +32,7 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     rank indexes KINDS. The base kinds are reported wherever they match: the HEX and ACCESS patterns carry
     their least length, which finds the same maximal runs; short values of assign are dropped after matching,
-    since they use up text. A bare secret is weak: reported if an access identifier, or an endpoint, lies
+    since they use up text. Within scope means that so many code points or fewer lie between two spans. A bare secret is weak: reported if an access identifier, or an endpoint, lies
     within scope code points. An endpoint is weak: reported if an assigned secret, or an access identifier and
     a bare secret, do. Weak spans inside assigned ones are left out. Null text has no spans.
     """
@@ -49,9 +49,10 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     before = Window.partitionBy("_key", "_hash", "rank").orderBy("n")
     rows = rows.where("m.match").select("*", (F.sum(F.col("m.gap") + F.col("m.length")).over(before)).alias("end")).where(F.col("value") >= min_value)
     rows = rows.select("_key", "_hash", "rank", (F.col("end") - F.col("m.length")).alias("start"), "end")
-    near = Window.partitionBy("_key", "_hash").orderBy("start").rangeBetween(-scope, scope)
     earlier = Window.partitionBy("_key", "_hash").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    has = lambda k: F.max(F.col("rank") == list(KINDS).index(k)).over(near)
+    later = Window.partitionBy("_key", "_hash").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    of = lambda k, c: F.when(F.col("rank") == list(KINDS).index(k), F.col(c))
+    has = lambda k: F.coalesce(F.max(of(k, "end")).over(earlier) >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.min(of(k, "start")).over(later) <= F.col("end") + scope, F.lit(False))
     rows = rows.select("*", *[has(k).alias(f"has_{k}") for k in ("assign", "access", "secret", "endpoint")], F.max(F.when(F.col("rank") == 0, F.col("end"))).over(earlier).alias("assigned"))
     free = F.coalesce(F.col("assigned") <= F.col("start"), F.lit(True))
     weak = F.when(F.col("rank") == 3, free & (F.col("has_access") | F.col("has_endpoint"))).when(F.col("rank") == 4, free & (F.col("has_assign") | (F.col("has_access") & F.col("has_secret"))))

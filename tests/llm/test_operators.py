@@ -401,3 +401,12 @@ def test_lm_repeats_in_a_document_are_one_entry(spark):
     p = 41 / mass  # the end, which each training document has once
     assert (got[held].held_out, got[held].n_tokens, got[held].n_known) == (True, 60_001, 1)
     assert abs(got[held].base_score - (60_000 * math.log10(1 / mass) + math.log10(p))) < 1e-3
+
+
+def test_secrets_scope_is_the_gap_between_spans(spark):
+    url = "https://example.org/" + "q" * 300 + "?token-of=tail"
+    texts = [f"token={'aB1.' * 150} {url} end", f"{url} {'x ' * 190} password={'z' * 20}", f"{url} {'x ' * 210} password={'z' * 20}"]
+    got = {r.doc_id: r.spans for r in secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, has in enumerate((True, True, False)):
+        start = texts[i].index(url)
+        assert (f"endpoint:{start}:{start + len(url)}" in got[i].split(",")) == has
