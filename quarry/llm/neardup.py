@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, components, stored, window_ids
+from .common import Words, components, dropped, scratch, small_batches, stored, window_ids
 
 DEPTH, LEAST_DEPTH, REGION_DEPTH = 8, 4, 5
 #: The chance to miss a pair at the least similarity: where regions are LEAST_DEPTH deep, and at any depth.
@@ -50,9 +50,8 @@ def most_bits(percent: int) -> int:
     return round(128 * far + 5.5 * (128 * far * (0.5 + 1 - far)) ** 0.5)
 
 
-def shingles(text: str, known: WordIds, n: int) -> np.ndarray:
-    """Sorted distinct ids of the n-word shingles of a text, A-Z lower-cased; the whole as one if it is shorter."""
-    words = known.of(text.encode().lower().split())
+def shingles(words: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct ids of the n-word shingles of a text's words; the whole as one if it is shorter."""
     return np.unique(window_ids(words, n if len(words) >= n else max(1, len(words))))
 
 
@@ -72,11 +71,11 @@ def sketched(docs: DataFrame, n: int, trees: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        known = WordIds()
+        words = Words()
         for batch in batches:
             rows = []
-            for d, s in zip(batch["_doc"], batch["_text"], strict=True):
-                ids = shingles(s, known, n) if s else np.empty(0, np.uint64)
+            for d, ids in zip(batch["_doc"], words.each(batch["_text"]), strict=True):
+                ids = shingles(ids, n)
                 if not len(ids):
                     rows.append((d, 0, None, None, None, None))
                     continue
@@ -107,18 +106,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     both = left.join(texts.select(F.col("_doc").alias("b"), F.col("_text").alias("y")), "b")
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordIds()
+        words = Words()
         for batch in batches:
-            keep, last, ids = [], None, None
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                if y is not last:
-                    last, ids = y, shingles(y, known, n)
-                own = shingles(x, known, n)
-                common = len(np.intersect1d(own, ids, assume_unique=True))
+            keep = []
+            for x, y in zip(words.each(batch["x"]), words.each(batch["y"]), strict=True):
+                own, ids = shingles(x, n), shingles(y, n)
+                common = shared(own, ids)
                 keep.append(100 * common >= percent * (len(own) + len(ids) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    return stored(both.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long"), "links")
+    links = stored(both.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long"), "links")
+    dropped(pairs.sparkSession, pairs)
+    return links
 
 
 def nearest(sets: DataFrame, percent: int) -> DataFrame:
@@ -197,9 +196,9 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, docs: DataFrame, n: int, perc
     texts = docs.join(crowd.select("_doc").distinct(), "_doc", "left_semi")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordIds()
+        words = Words()
         for batch in batches:
-            yield pd.DataFrame({"_doc": batch["_doc"], "ids": [shingles(s, known, n).tobytes() for s in batch["_text"]]})
+            yield pd.DataFrame({"_doc": batch["_doc"], "ids": [shingles(x, n).tobytes() for x in words.each(batch["_text"])]})
 
     full = texts.select("_doc", "_text").mapInPandas(each, "_doc long, ids binary").dropDuplicates(["_doc"])
     full = stored(full.join(sets.select("_doc", "n_shingles", "root", "bits", "label"), "_doc"), "crowd-sets")
@@ -269,20 +268,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     are one document: they share a component. A pair at the least similarity shares a region in at least one tree with
     probability 0.9999 or more, 0.99999 where regions are LEAST_DEPTH deep; trees_for(percent) has as many as it takes.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    with scratch(docs.sparkSession) as keep, small_batches(docs.sparkSession):
+        out = grouped(docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")), words, percent)
+        keep(out)
+    component = F.coalesce("root", "_doc")
+    return out.select(F.col("_doc").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_doc"), F.lit(True)).alias("kept"))
+
+
+def grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(_doc, n_shingles, root) of rows (_doc, _text), stored."""
+    spark = rows.sparkSession
     facts = stored(sketched(rows, words, trees_for(percent)), "sketches")
     named = facts.where("_doc is not null and n_shingles > 0")
     sets = stored(named.groupBy("s1", "s2").agg(F.min_by(F.struct("_doc", "n_shingles", "label", "bits"), "_doc").alias("m")).select("s1", "s2", "m.*"), "sets")
     same = named.join(sets.select("s1", "s2", F.col("_doc").alias("a")), ["s1", "s2"]).select("a", F.col("_doc").alias("b")).where("a < b")
+    same, sizes = stored(same, "copies"), stored(facts.select("_doc", "n_shingles"), "sizes")
+    dropped(spark, facts)
     texts = rows.where("_doc is not null")
     links = confirmed(nearest(sets, percent), texts, words, percent)
     groups = components(links)
-    rooted = sets.join(groups.withColumnRenamed("id", "_doc"), "_doc", "left").withColumn("root", F.coalesce("root", "_doc"))
-    more = regions(stored(rooted, "rooted"), texts, words, percent)
+    rooted = sets.drop("s1", "s2").join(groups.withColumnRenamed("id", "_doc"), "_doc", "left").withColumn("root", F.coalesce("root", "_doc"))
+    rooted = stored(rooted, "rooted")
+    dropped(spark, sets)
+    more = regions(rooted, texts, words, percent)
+    dropped(spark, rooted)
     final = components(links.unionByName(more).unionByName(same))
-    out = facts.join(final.withColumnRenamed("id", "_doc"), "_doc", "left")
-    component = F.coalesce("root", "_doc")
-    return out.select(F.col("_doc").alias(doc_id), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("_doc"), F.lit(True)).alias("kept"))
+    return stored(sizes.join(final.withColumnRenamed("id", "_doc"), "_doc", "left"), "groups")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import stored
+from .common import scratch, stored
 
 #: Tokens that a shard packs: memory of a packing task is one entry a window that is still open.
 SHARD_TOKENS = 1 << 24
@@ -101,8 +101,18 @@ def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
     return encode
 
 
+def narrow(ids: bytes) -> bytes:
+    """Ids given as 32-bit numbers as 16-bit ones, if all fit."""
+    x = np.frombuffer(ids, "<u4")
+    return x.astype("<u2").tobytes() if x.max() < 1 << 16 else ids
+
+
+def wide(ids: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<i4")
+
+
 def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, separator: int = 0, keep_ids: bool = True, most_words: int = MOST_WORDS) -> DataFrame:
-    """Tokenises and cuts: one row per piece (doc_id, doc_tokens, start, length, ids_crc32 and, if kept, ids as little-endian 32-bit numbers).
+    """Tokenises and cuts: one row per piece (doc_id, doc_tokens, start, length, ids_crc32 and, if kept, ids as little-endian numbers of 16 bits, or 32 where one is larger).
 
     A document is its ids and the separator. Overlong documents are cut into full windows and a rest.
     Null text counts as empty: one piece, the separator alone.
@@ -121,7 +131,7 @@ def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text:
                     n = len(ids) // 4
                     for i in range(0, n, window):
                         p = ids[4 * i : 4 * (i + window)]
-                        rows.append((None if pd.isna(d) else d, n, i, len(p) // 4, zlib.crc32(p), *([p] if keep_ids else [])))
+                        rows.append((None if pd.isna(d) else d, n, i, len(p) // 4, zlib.crc32(p), *([narrow(p)] if keep_ids else [])))
                 yield frame(rows)
 
     def parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -180,7 +190,7 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
             if "ids" in batch:  # handed on some at a time: as numbers they take several times the memory
                 for k in range(0, len(batch), 256):
                     part = batch.iloc[k : k + 256]
-                    yield part.assign(ids=[np.frombuffer(x, "<i4") for x in part["ids"]])
+                    yield part.assign(ids=[wide(x, n) for x, n in zip(part["ids"], part["length"], strict=True)])
             else:
                 yield batch
 
@@ -194,7 +204,9 @@ def pack(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str =
     the pieces stored in the shared folder; packing moves ids only if they are kept. A worker remembers the ids of up to
     twice most_words words: more are faster, fewer take less memory. An empty table gives none.
     """
-    pieces = stored(pieces_of(docs, tokenizer=tokenizer, doc_id=doc_id, text=text, window=window, separator=separator, keep_ids=keep_ids, most_words=most_words), "pieces")
+    with scratch(docs.sparkSession) as keep:
+        pieces = stored(pieces_of(docs, tokenizer=tokenizer, doc_id=doc_id, text=text, window=window, separator=separator, keep_ids=keep_ids, most_words=most_words), "pieces")
+        keep(pieces)
     return packed(pieces, doc_id=doc_id, window=window)
 
 

@@ -45,6 +45,17 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op4_mix_sources": f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+'))::BIGINT AS size, ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+        l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(2 * source_size) OVER below, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
+            FROM s WINDOW below AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l),
+        q AS (SELECT d.*, source_size, target, (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS run FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, (run + k * source_size)::DOUBLE / target AS finish FROM q, range(2) r(k) WHERE size > 0),
+        o AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST ROWS UNBOUNDED PRECEDING) AS through FROM p),
+        g AS (SELECT doc_id, sum(greatest(0, least(size, (SELECT floor(1.5::DOUBLE * sum(source_size)) FROM t) - (through - size))))::BIGINT AS taken FROM o GROUP BY doc_id)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN g USING (doc_id)""",
     "op1_near_duplicates": f"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^{_BLANK}]+') AS words FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS g FROM w),

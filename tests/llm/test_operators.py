@@ -7,10 +7,11 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.llm import licenses, lines, lm, mixing, neardup, packing, quality, secrets, substrings, vectors
-from quarry.llm.common import components
+from quarry.llm.common import Words, components
 
 R = random.Random(7)
 VOCABULARY = ["".join(R.choices("abcdefghijklmnopqrstuvwxyz", k=R.randint(2, 8))) for _ in range(400)]
@@ -141,14 +142,40 @@ def test_mixing(docs, none):
         want |= {s: 2.0 * size[s] for s in full}
         free -= full
     for s in names:
-        assert abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) <= 1
+        assert abs(target[s] - want[s]) < 1e-6 * want[s] and abs(taken[s] - want[s]) <= max(len(words(t)) for _, t, x, _ in ROWS if x == s)
+    assert sum(taken.values()) == int(1.5 * sum(size.values()))
+    # Fair queueing one document after the other.
+    key = lambda d: (int(hashlib.md5(f"0:{'' if d is None else d}".encode()).hexdigest()[:15], 16), -1 if d is None else d)
+    queue = []
+    for s in names:
+        row = sorted((*key(d), len(words(t)), str(t)) for d, t, x, _ in ROWS if x == s)
+        served = 0
+        for k in range(2):
+            for _, d, n, t in row:
+                served += n
+                queue.append((served / target[s], chr(0x10FFFF) if s is None else s, k, d, t, n))
+    left, take = int(1.5 * sum(size.values())), collections.Counter()
+    for *_, d, t, n in sorted((x for x in queue if x[-1]), key=lambda x: x[:2]):
+        take[d, t] += min(n, left)
+        left -= min(n, left)
+    have = collections.Counter()
+    for r in got:
+        have[-1 if r.doc_id is None else r.doc_id, str(r.text)] += r.taken
+    assert +have == +take
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "finish" in plan and plan.count("Window") >= 1
     again = mixing.mix_sources(docs.repartition(5)).collect()
     pick = lambda rows: sorted((str(r.doc_id), str(r.text), r.taken) for r in rows)
     assert pick(got) == pick(again)
     assert mixing.mix_sources(none).count() == 0 and mixing.mixed_documents(docs).columns == docs.columns
 
 
-def test_lm_scores(docs, none):
+@pytest.mark.parametrize(("places", "hot"), [(lm.PLACES, lm.HOT), (64, 200), (2, 1)])
+def test_lm_scores(docs, none, monkeypatch, places, hot):
+    """All words frequent; most rare, some bigrams hot; all words rare."""
+    monkeypatch.setattr(lm, "PLACES", places)
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 3000)
     END, START = b"\0end", b"\0start"
     low = lambda t: [x.lower() for x in words(t)] + [END]
     train = [low(t) for d, t, *_ in ROWS if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
@@ -314,7 +341,11 @@ def test_pipeline(spark, tmp_path):
     assert all("Footer" not in r.text and r.n_chars == len(r.text) for r in plain.collect())
     single = c.near(spark, plain, "")
     assert {r.doc_id for r in single.collect()} == set(range(60)) and single.columns == df.columns
-    assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} <= set(range(60))
+    mix = collections.Counter(r.doc_id for r in c.mixing(spark, single, "").collect())
+    got = c.run(spark, str(tmp_path)).collect()
+    assert len(mix) > 30 and max(mix.values()) <= 2
+    assert collections.Counter(r.doc_id for r in got if r.start == 0) == mix
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
 
 
 def test_encoder_equals_the_tokenizer(monkeypatch):
@@ -388,11 +419,30 @@ def test_near_duplicates_at_80_in_deepened_regions(spark, monkeypatch):
     assert all(r.component_id == r.doc_id - r.doc_id % 2 for r in got)
 
 
+def ids_of(*words):
+    return Words().of([b" ".join(words).decode()])[0] | np.uint64(lm.TOP)
+
+
+def test_words_are_told_apart_and_cut_anywhere():
+    texts = [t for t in TEXTS if t is None or len(t) < 20_000] + ["Q" * 5000 + " z", " \t\n ", "a\x0bb\x0cc\rd e\u00a0f"]
+    for size in (64, 1000, 1 << 19):
+        ids, n = Words(size=size).of(texts)
+        flat = [w.lower() for t in texts for w in words(t)]
+        assert n.tolist() == [len(words(t)) for t in texts]
+        assert len(set(flat)) == len(set(ids.tolist())) == len(set(zip(flat, ids.tolist(), strict=True)))
+    assert [len(x) for x in Words(lower=False).each(texts, 3)] == n.tolist() and len(Words().of([])[0]) == 0
+    assert len(set(Words(lower=False).of(["a A"])[0].tolist())) == 2
+
+
 def test_lm_repeats_in_a_document_are_one_entry(spark):
-    w, h, d = (np.repeat(np.array([3, 3, 5], t), [10**6, 2, 1]) for t in (np.uint64, np.uint64, np.uint16))
-    d[: 10**6], d[10**6 :] = 0, 1
-    n, *columns = lm.merged(np.ones(len(w), np.uint8), w, h, d)
-    assert n.tolist() == [10**6, 2, 1] and [c.tolist() for c in columns] == [[3, 3, 5], [3, 3, 5], [0, 1, 1]]
+    text = pd.DataFrame({"_row": [1], "_train": [True], "_text": ["a b " * 10**5]})
+    (_, _, h, w, d), *_ = lm.chunks(iter([text]), np.sort(np.array([*ids_of(b"a", b"b"), lm.START, lm.END], np.uint64)))
+    assert len(w) == 2 * 10**5 + 1 and len(np.unique(h << np.uint64(2) | w)) == 4 and not d.any()
+    counts = spark.createDataFrame([(int(h) - (1 << 64), i, i) for i, h in enumerate(ids_of(*[b"%d" % i for i in range(1, 50)]), 1)], "w long, c long, a long")
+    common = lm.frequent(counts)
+    assert len(common) == 51 and (np.diff(common["w"].to_numpy()) > 0).all() and lm.lookup(common["w"].to_numpy(), ids_of(b"7")).tolist() == [common.index[common["a"] == 7][0]]
+    for x in ([], [0], [3, 2**40, 255], [2**64 - 1, 0]):
+        assert lm.unpacked(lm.packed(np.array(x, np.uint64))).tolist() == x
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     train = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 != 2][:40]
     rows = [(i, prose(50, i)) for i in train] + [(held, "only held out " * 20_000)]
