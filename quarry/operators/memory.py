@@ -44,3 +44,27 @@ def anti_union(first: DataFrame, second: DataFrame, key: str, most: int | None =
     out = first.withColumn("_o", F.lit(0)).unionByName(second.join(first.select(key), key, "left_anti").withColumn("_o", F.lit(1)))
     out = out.orderBy("_o", key).limit(most) if most else out
     return out.drop("_o")
+
+
+def domain_statistics(runs: DataFrame, domain: str, scores: list[str]) -> DataFrame:
+    """Runs and mean scores by domain."""
+    return runs.groupBy(domain).agg(F.count("*").alias("runs"), *[F.avg(s).alias(f"avg_{s}") for s in scores])
+
+
+def recent_successes(runs: DataFrame, domain: str, success, time: str, now: str, days: int = 30) -> DataFrame:
+    """Successful runs by domain within the last days."""
+    return runs.where(success & (F.col(time) > F.date_sub(F.lit(now).cast("date"), days))).groupBy(domain).agg(F.count("*").alias("successes"))
+
+
+def most_frequent(df: DataFrame, domain: str, issue: str, most: int = 5) -> DataFrame:
+    """The most frequent issues of each domain, ties by name."""
+    n = df.groupBy(domain, issue).agg(F.count("*").alias("frequency"))
+    w = Window.partitionBy(domain).orderBy(F.desc("frequency"), issue)
+    return n.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
+
+
+def most_effective(df: DataFrame, domain: str, remediation: str, effect: str, most: int = 3) -> DataFrame:
+    """The remediations with the best mean effect in each domain, ties by name."""
+    n = df.groupBy(domain, remediation).agg(F.avg(effect).alias("effectiveness"))
+    w = Window.partitionBy(domain).orderBy(F.desc("effectiveness"), remediation)
+    return n.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)

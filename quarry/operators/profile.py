@@ -33,8 +33,10 @@ def at(p: float):
 def numeric_kpis(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, median, std, min, max, sum, quartiles, iqr, cv, skew, kurtosis, range and outer percentiles by column."""
     d = lambda f: lambda c: f(c.cast("double"))
-    stats = {"count": lambda c: F.count(c), "mean": d(F.avg), "median": at(0.5), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max), "sum": d(F.sum), "q25": at(0.25), "q75": at(0.75), "skewness": d(sample_skewness), "kurtosis": d(sample_kurtosis), "p5": at(0.05), "p10": at(0.1), "p90": at(0.9), "p95": at(0.95), "p99": at(0.99)}
-    out = by_column(df, columns or metric_columns(df), stats)
+    places = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    stats = {"count": lambda c: F.count(c), "mean": d(F.avg), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max), "sum": d(F.sum), "skewness": d(sample_skewness), "kurtosis": d(sample_kurtosis)}
+    stats["_at"] = lambda c: F.percentile(c.cast("double"), F.array(*map(F.lit, places.values())))  # one buffer a column
+    out = by_column(df, columns or metric_columns(df), stats).withColumns({k: F.col("_at")[i] for i, k in enumerate(places)}).drop("_at")
     return out.withColumns({"iqr": F.col("q75") - F.col("q25"), "cv": F.when(F.col("mean") != 0, F.col("std") / F.col("mean")), "range": F.col("max") - F.col("min")})
 
 
@@ -92,12 +94,12 @@ def extreme_values(df: DataFrame, columns: list[str], huge: float = 1e10) -> Dat
 
 
 def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
-    """(bin from 1, n, density) over equal bins; the maximum falls in the last bin."""
+    """(bin from 1, n, density) over equal bins; the maximum falls in the last bin. A constant column is one bin without density."""
     b = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.count(c).alias("_n"))
     x = df.select(F.col(c).cast("double").alias("x")).where("x is not null").crossJoin(F.broadcast(b))  # one row
     width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.least(F.lit(bins), F.floor((F.col("x") - F.col("_lo")) / width).cast("long") + 1)
-    return x.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), (F.count("*") / (F.first("_n") * F.first(width))).alias("density"))
+    place = F.least(F.lit(bins), F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("_lo"), width), F.lit(0.0))).cast("long") + 1)
+    return x.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.try_divide(F.count("*").cast("double"), F.first("_n") * F.first(width)).alias("density"))
 
 
 def quartile_classes(df: DataFrame, columns: list[str]) -> DataFrame:

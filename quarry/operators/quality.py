@@ -37,10 +37,3 @@ def confidence(completeness: float, consistency: float, transformation: float, g
 
 def cleaning_score(missing_share: float, row_loss: float, warnings: int = 0, errors: int = 0, infos: int = 0) -> int:
     return int(max(0, min(100, 100 - 30 * missing_share - 20 * row_loss - 10 * warnings - 20 * errors - 2 * infos)))
-
-
-def analysis_score(df: DataFrame) -> DataFrame:
-    """One row: completeness, size tier and their weighted score."""
-    m = missingness(df).agg(F.max("rows").alias("rows"), (100 * (1 - F.avg("missing_share"))).alias("completeness"))
-    size = F.when(F.col("rows") >= 1000, 100.0).when(F.col("rows") >= 100, 80.0).when(F.col("rows") >= 30, 60.0).otherwise(40.0)
-    return m.select("completeness", size.alias("size_score"), (0.3 * F.col("completeness") + 0.25 * size).alias("partial_score"))

@@ -122,7 +122,8 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     sums, total = rank_sums(df, value, group)
     s = sums.agg(F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("q"), F.count("*").alias("k")).crossJoin(total)
     h = 12 / (F.col("n") * (F.col("n") + 1)) * F.col("q") - 3 * (F.col("n") + 1)
-    return s.select((h / (1 - F.col("ties") / (F.pow("n", F.lit(3)) - F.col("n")))).alias("h"), (F.col("k") - 1).cast("double").alias("df"))
+    untied = 1 - F.try_divide(F.col("ties"), F.pow("n", F.lit(3)) - F.col("n"))  # 0 where all values tie: no statistic
+    return s.select(F.try_divide(h, untied).alias("h"), (F.col("k") - 1).cast("double").alias("df"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -162,7 +163,7 @@ def ks_exponential(df: DataFrame, c: str) -> DataFrame:
     """Distance between the values' distribution and the exponential one of their mean."""
     m = df.agg(F.avg(c).alias("m"), F.count(c).cast("double").alias("t"))
     v = average_ranks(df, c).select("value", (F.col("rank") - (F.col("n") + 1) / 2).alias("below"), "n").crossJoin(F.broadcast(m))
-    cdf = 1 - F.exp(-F.col("value") / F.col("m"))
+    cdf = 1 - F.exp(-F.try_divide(F.col("value"), F.col("m")))
     return v.agg(F.max(F.greatest((F.col("below") + F.col("n")) / F.col("t") - cdf, cdf - F.col("below") / F.col("t"))).alias("d"))
 
 
@@ -174,9 +175,9 @@ def ks_normal(df: DataFrame, c: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def phi(z):
-        return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
+        return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
 
-    v = v.withColumn("f", phi((F.col("value") - F.col("m")) / F.col("s")))
+    v = v.withColumn("f", phi(F.try_divide(F.col("value") - F.col("m"), F.col("s"))))
     return v.agg(F.max(F.greatest((F.col("below") + F.col("n")) / F.col("t") - F.col("f"), F.col("f") - F.col("below") / F.col("t"))).alias("d"))
 
 

@@ -435,11 +435,6 @@ def validation_gates(t):
     return quality.gates(gaps(t, "o_totalprice", "o_orderkey"))
 
 
-@query("orders", sql=rsql("completeness size_score partial_score", f"SELECT c AS completeness, 100.0::DOUBLE AS size_score, 0.3 * c + 25 AS partial_score FROM (SELECT 100 * (1 - (1 - count(o_totalprice) / count(*)::DOUBLE) / 6) AS c FROM {ORDERS_GAPS})"))
-def analysis_quality_score(t):
-    return rounded(quality.analysis_score(gaps(t, "o_totalprice", "o_orderkey")))
-
-
 @query("part", sql=union(["p_brand", "p_size", "p_partkey"], """SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_values, count(DISTINCT {c}) <= 1 AS constant, count(DISTINCT {c}) > 100 AND count(DISTINCT {c}) > 0.8 * count({c}) AS high_cardinality FROM part"""))
 def constant_and_cardinality_flags(t):
     return profile.column_flags(t, ["p_brand", "p_size", "p_partkey"])

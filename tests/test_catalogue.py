@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quarry.plans import more  # noqa: F401  registers its queries
 from quarry.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

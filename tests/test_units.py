@@ -70,3 +70,44 @@ def test_pipeline(spark):
     assert out["validate"].report[-1]["route"] == "continue"
     assert "o_orderdate_year" in out["transform"].df.columns and out["transform"].df.count() > 0
     assert out["analyze"].df.count() >= 1
+
+
+def test_p_values_of_tables():
+    from quarry.functions import pvalues as p
+
+    for got in (p.t_two_sided(2.2281, 10), p.f_tail(4.1028, 2, 10), p.chi2_tail(5.9915, 2), p.normal_two_sided(1.95996), p.kolmogorov_tail(1.3581 / (100 + 0.12 + 0.0011), 10**4)):
+        assert abs(got - 0.05) < 2e-4
+
+
+def test_significance_has_verdicts_and_survives_constants(spark):
+    from quarry.operators import profile, significance, stats
+
+    x = spark.createDataFrame([(float(v), 3.0 if i % 2 else 9.0, "ab"[i % 2], 0.0) for i, v in enumerate([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])], "x double, y double, g string, zero double")
+    d = significance.dagostino(x, "x", least=8).first()
+    assert abs(d.k2 - 13.034263121192582) < 1e-9 and abs(d.p_value - 0.00147) < 1e-5
+    assert significance.dagostino(x, "x").first().k2 is None and significance.dagostino(x, "zero", least=8).first().k2 is None
+    r = significance.correlations(x.withColumn("z", x.x * 2), ["x", "z", "y"]).collect()
+    assert [(c.strength, c.significant) for c in r if {c.a, c.b} == {"x", "z"}] == [("strong", True)]
+    assert all(c.p_value > 0.05 and not c.significant for c in r if "y" in (c.a, c.b))
+    for f in (significance.t_test, significance.anova, significance.kruskal, significance.mann_whitney):
+        assert 0 <= f(x, "x", "g").first().p_value <= 1
+        assert f(x, "zero", "g").first().p_value in (None, 1.0)
+    assert significance.linear_trend(x, "x", "y").first().p_value > 0.05
+    assert stats.kruskal(x, "zero", "g").first().h is None
+    assert [tuple(b) for b in profile.histogram(x, "zero").collect()] == [(1, 11, None)]
+    stats.ks_exponential(x, "zero").collect()
+
+
+def test_summaries_of_empty_and_odd_tables(spark):
+    from quarry.operators import summary
+
+    none = spark.createDataFrame([], "k long, t string, v double, d date")
+    assert summary.dataset_profile(none).first().missing_share is None
+    assert summary.analysis_quality(none).first().completeness_score == 0.0
+    assert summary.describe(none, ["v"]).first()["count"] == 0 and summary.top_values(none, ["t"]).count() == 0
+    odd = spark.createDataFrame([(1, "7", None, None), (2, "x", 1.0, None), (3, "8.5", 2.0, None), (4, "9", 2.0, None), (5, None, 2.0, None)], none.schema)
+    assert [r.t for r in summary.strings_to_numbers(odd, 0.7).orderBy("k").collect()] == [7.0, None, 8.5, 9.0, None]
+    assert summary.strings_to_numbers(odd).schema == odd.schema
+    got = summary.safe_cast(odd, {"t": "integer", "absent": "float"}).orderBy("k").collect()
+    assert [r.t for r in got][:2] == [7, None]
+    assert summary.text_preview(odd, ["k"]).first().v == "NULL"
