@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, words_of
+from .common import BLANKS, free_names, words_of
 
 # What marks a line as navigation or boilerplate.
 NAVIGATION = r"(?i)^\W*(home|menu|next|previous|prev|back|login|log in|sign in|sign up|search|share|skip to (main )?content|read more|contact us|about us|site ?map)\W*$"
@@ -70,38 +70,41 @@ def repeated_words(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) > n, let(let(ids, hashes), count)).otherwise(F.lit(0).cast("long"))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line with a word and without a sentence end, a navigation or boilerplate line, or a row of separated items."""
+def line_fails(line: Column, short_line: int) -> Column:
+    """True for a line with a word and without a sentence end, a navigation or boilerplate line of at most short_line code points, or a row of separated items."""
     body = F.rtrim(line, F.lit(CLOSING))
     no_end = ~F.substring(body, -1, 1).isin(*SENTENCE_END)
-    short = (F.length(line) <= SHORT_LINE) & (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    short = (F.length(line) <= short_line) & (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE))
     row = line.rlike(SEPARATORS) & (F.regexp_count(line, F.lit(SEPARATORS)) * 3 >= F.size(words_of(line)))
     return (F.trim(line, F.lit(BLANKS)) != "") & (no_end | short | row)
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeated: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text: str = "text", max_lost: float = 0.5, min_words: int = 10, max_repeated: int = 20, short_line: int = SHORT_LINE) -> DataFrame:
     """The input's columns with: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     n_lost_words (long), cleaned (the text without failing lines) and kept.
 
     A document is kept if it passes the base rules and loses at most max_lost of its words with its failing
-    lines. Null text counts as empty: no words, base_failed. Rows are judged one by one, so repeated rows give
-    repeated results. Other columns pass through; those with the names of new columns are replaced.
+    lines. Lines of more than short_line code points are prose that mentions a phrase, not navigation or boilerplate. Null text
+    counts as empty: no words, base_failed. Rows are judged one by one, so repeated rows give
+    repeated results; whole texts are judged, however long; an empty table gives none. Other columns pass through; those with the names of new columns are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    fails = lambda line: line_fails(line, short_line)
     plain = body
     for c in SYMBOLS:
         plain = F.replace(plain, F.lit(c), F.lit(""))
-    out = docs.withColumns({"_words": words_of(body), "_lines": F.filter(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")})
+    words, lines = free_names(docs, "_words", "_lines")
+    out = docs.withColumns({words: words_of(body), lines: F.filter(F.split(body, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")})
     words_in = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.size(words_of(x)))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": (F.length(body) - F.length(plain)).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "cleaned": F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~line_fails(x)), "\n"),
-        "n_lost_words": words_in(F.filter("_lines", line_fails)),
-    }).drop("_words", "_lines")
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words)),
+        "cleaned": F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~fails(x)), "\n"),
+        "n_lost_words": words_in(F.filter(lines, fails)),
+    }).drop(words, lines)
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost_words") <= max_lost * F.col("n_words")))
 

@@ -64,8 +64,10 @@ def secret_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def secret_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per input row: the id, n_assign, n_access, n_hex (long), base_spans, spans (strings kind:start:end by start).
 
-    Null or empty text gives zeros and empty strings; repeated rows give repeated results.
+    Null or empty text gives zeros and empty strings; repeated rows give repeated results. Texts are scanned whole, however
+    long; an empty table gives none. Other columns of the input, whatever their names, play no part.
     """
+    docs = docs.select(doc_id, text)
     found = secret_spans(docs, doc_id=doc_id, text=text, **options)
     out = docs.select(F.col(doc_id), *row_key(doc_id, text)).join(found, ["_key", "_hash"], "left")
     count = lambda r: F.coalesce(F.size(F.filter("base", lambda x: x["rank"] == r)), F.lit(0)).cast("long")
