@@ -65,9 +65,12 @@ class LineRuns:
         self.levels[level].append(self._write(counts))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            merged = reduce(DataFrame.unionByName, map(self.spark.table, old)).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+            # Read as plain files: parts of a union of bucketed tables are not one bucket each.
+            plain = [self.spark.read.parquet(f"{shared_folder(self.spark)}/{name}") for name in old]
+            merged = stored(reduce(DataFrame.unionByName, plain).groupBy("h1", "h2").agg(F.sum("n").alias("n")), "line-merge")
             self._put(level + 1, merged)
             self._remove(old)
+            dropped(self.spark, merged)
 
     def _remove(self, names: list[str]) -> None:
         for name in names:

@@ -71,3 +71,14 @@ def test_scratch_goes_with_its_scope_and_kept_tables_with_the_one_around(spark):
         with pytest.raises(Exception, match="NOT_EXIST|does not exist|PATH_NOT_FOUND"):
             gone.collect()
     delete(spark, left)
+
+
+def test_line_runs_add_up_over_compactions(spark):
+    runs, schema = lines.LineRuns(spark, 10), "h1 long, h2 long, n long"
+    for _ in range(7):  # in each batch 3 documents of key 1 and 1 of every other key
+        runs.add(spark.createDataFrame([(k, -k, 3 if k == 1 else 1) for k in range(1, 400)], schema))
+    assert [len(level) for level in runs.levels] == [1, 2]
+    assert all(spark.table(name).groupBy("h1").count().where("count > 1").isEmpty() for name in runs.runs())
+    asked = runs.totals(spark.createDataFrame([(1, -1, 1), (2, -2, 1), (999, 0, 1)], schema))
+    assert {r.h1: r.before for r in asked.collect()} == {1: 12, 2: 7, 999: 0}  # key 1 is settled after four batches
+    assert [tuple(r) for r in runs.close().collect()] == [(1, -1)]
