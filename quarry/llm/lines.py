@@ -66,7 +66,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             # Read as plain files: parts of a union of bucketed tables are not one bucket each.
-            plain = [self.spark.read.parquet(f"{shared_folder(self.spark)}/{name}") for name in old]
+            plain = [self.spark.read.schema("h1 long, h2 long, n long").parquet(f"{shared_folder(self.spark)}/{name}") for name in old]
             merged = stored(reduce(DataFrame.unionByName, plain).groupBy("h1", "h2").agg(F.sum("n").alias("n")), "line-merge")
             self._put(level + 1, merged)
             self._remove(old)

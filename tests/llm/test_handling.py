@@ -82,3 +82,10 @@ def test_line_runs_add_up_over_compactions(spark):
     asked = runs.totals(spark.createDataFrame([(1, -1, 1), (2, -2, 1), (999, 0, 1)], schema))
     assert {r.h1: r.before for r in asked.collect()} == {1: 12, 2: 7, 999: 0}  # key 1 is settled after four batches
     assert [tuple(r) for r in runs.close().collect()] == [(1, -1)]
+
+
+def test_line_runs_of_nothing(spark):
+    runs, none = lines.LineRuns(spark, 10), spark.createDataFrame([], "h1 long, h2 long, n long")
+    for _ in range(4):
+        runs.add(none)
+    assert runs.close().count() == 0
