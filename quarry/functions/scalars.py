@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Timestamp patterns that are tried in this order.
-DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyy-M-d H:m:s", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd"]
+# Date formats of the type detector and of date parsing, tried in this order.
+DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d H:m:s", "d-M-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyy", "M/yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
+ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 TRUE_WORDS, FALSE_WORDS = ["yes", "y", "true", "1", "on", "enabled"], ["no", "n", "false", "0", "off", "disabled"]
 
 
@@ -20,9 +21,20 @@ def parse_number(c: Column) -> Column:
     return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
 
 
+def time_by(c: Column, pattern: str) -> Column:
+    """Timestamp from text by one pattern, null if it does not fit; a year alone has four digits."""
+    c = F.when(c.rlike(r"^\d{4}$"), c) if pattern == "yyyy" else c
+    return F.try_to_timestamp(c, F.lit(pattern))
+
+
+def iso_time(c: Column) -> Column:
+    return F.when(c.rlike(ISO_TIME), F.try_to_timestamp(c))
+
+
 def parse_time(c: Column) -> Column:
-    """Timestamp without zone from text, by the first pattern that fits; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in DATE_FORMATS]).cast("timestamp_ntz")
+    """Timestamp without zone from text, by the first pattern that fits, then as ISO 8601; null if none does."""
+    c = c.cast("string")
+    return F.coalesce(*[time_by(c, f) for f in DATE_FORMATS], iso_time(c)).cast("timestamp_ntz")
 
 
 def strip_currency(c: Column) -> Column:

@@ -7,49 +7,59 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DATE_FORMATS, parse_number
+from ..functions.scalars import DATE_FORMATS, iso_time, parse_number, time_by
+from . import ranked
 
-# Fixed values.
+# Types in the order that settles ties, pairs of truth values, words of places, forms of ids, marks of currency.
 TYPES = ["numeric", "integer", "float", "datetime", "boolean", "categorical", "geographic", "id", "currency", "text"]
-BOOLEAN_SETS = [["true", "false"], ["yes", "no"], ["y", "n"], ["1", "0"], ["t", "f"], ["on", "off"]]
-PLACES = ["city", "state", "country", "district", "region", "street", "road", "north", "south", "east", "west"]
-ID_PATTERNS = [r"^[A-Z]{2,}\d+$", r"^\d{4,}$", r"^[a-f0-9-]{8,}$", r"^[A-Za-z]+[-_#]\d+$"]
+BOOLEAN_SETS = [["true", "false"], ["1", "0"], ["yes", "no"], ["y", "n"], ["t", "f"], ["1.0", "0.0"]]
+PLACES = ["district", "state", "city", "village", "mandal", "tehsil", "block", "ward", "constituency", "pincode", "zip"]
+ID_PATTERNS = [r"^\d+$", r"^[A-Z]+\d+$", r"^\d+[A-Z]+\d*$", r"^[A-Z0-9]+$"]
+CURRENCY_MARKS = ["₹", r"\$", r"rs\.?", "inr", "crore", "lakh"]
 
 
 def type_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, scores by type, type): all detectors of all columns in one aggregate; the best score wins, ties by the order of TYPES,
-    and below 0.6 a column is text. A column of nulls is unknown."""
+    """(column, n, distinct_share, scores by type, type, confidence): all detectors of all columns in one aggregate over all rows.
+
+    The best score wins, ties by the order of TYPES, and below 0.6 a column is text. A column of nulls is unknown with
+    confidence 0. Times are the 12 formats and ISO 8601; a number is no time but for a year of four digits.
+    """
 
     def scores(c: str):
-        s = F.col(c).cast("string")
+        s = F.col(f"`{c}`").cast("string")
         x, n = parse_number(s), F.count(s)
         share = lambda cond: F.try_divide(F.count(F.when(cond, 1)).cast("double"), n.cast("double"))
+        of_numbers = lambda cond: F.try_divide(F.count(F.when(cond, 1)).cast("double"), F.count(x).cast("double"))
         numeric = share(x.isNotNull())
         distinct = F.try_divide(F.countDistinct(s).cast("double"), n.cast("double"))
         low = F.lower(F.trim(s))
-        every = lambda cond: F.coalesce(F.min(F.when(s.isNotNull(), cond.cast("double"))), F.lit(0.0))
-        stripped = F.regexp_replace(s, r"[$€£₹,\s]", "")
+        said = F.when(~low.isin("nan", "none", ""), low)
+        every = lambda p: F.coalesce(F.min(said.isin(p).cast("double")), F.lit(0.0))
+        places = sum(F.max(low.contains(p).cast("int")) for p in PLACES)
+        coordinates = (numeric > 0.8) & ((of_numbers(x.between(-90, 90)) > 0.8) | (of_numbers(x.between(-180, 180)) > 0.8))
+        bare = F.regexp_replace(s, r"[₹$,\s]", "")
         values = {
             "numeric": numeric,
-            "integer": F.when(numeric >= 0.8, numeric * share(x == F.floor(x))),
-            "float": F.when(numeric >= 0.8, numeric * share(x != F.floor(x))),
-            "datetime": F.greatest(*[share(F.try_to_timestamp(s, F.lit(f)).isNotNull()) for f in DATE_FORMATS]),
-            "boolean": F.greatest(*[every(low.isin(p)) for p in BOOLEAN_SETS]),
+            "integer": F.when(numeric >= 0.8, share(x == F.floor(x))),
+            "float": F.when(numeric >= 0.8, share(x != F.floor(x))),
+            "datetime": F.greatest(*[share(time_by(s, f).isNotNull()) for f in DATE_FORMATS], share(iso_time(s).isNotNull())),
+            "boolean": F.greatest(*[every(p) for p in BOOLEAN_SETS]),
             "categorical": F.when((distinct < 0.1) & (F.countDistinct(s) > 1), 1 - distinct),
-            "geographic": F.least(F.lit(0.8), 0.3 * sum(F.max(low.contains(p).cast("int")) for p in PLACES)),
+            "geographic": F.when(coordinates, 0.9).otherwise(F.least(F.lit(0.8), 0.3 * places)),
             "id": F.when(distinct >= 0.95, distinct * F.greatest(*[share(s.rlike(p)) for p in ID_PATTERNS])),
-            "currency": F.greatest(share(s.rlike(r"[$€£₹]|(?i)\b(rs|inr|usd|eur)\b")), F.when(share(stripped != s) > 0, share((stripped != s) & parse_number(stripped).isNotNull())).otherwise(0.0)),
+            "currency": F.greatest(*[share(s.rlike(f"(?i){p}")) for p in CURRENCY_MARKS], share(parse_number(bare).isNotNull())),
             "text": F.lit(0.3),
         }
-        return F.struct(n.alias("n"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()]).alias(c)
+        return F.struct(n.alias("n"), distinct.alias("distinct_share"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()])
 
-    wide = df.agg(*[scores(c) for c in columns])
-    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`.n").alias("n"), *[F.col(f"`{c}`.{k}").alias(k) for k in TYPES]) for c in columns])))
+    names = ["n", "distinct_share", *TYPES]
+    wide = df.agg(*[scores(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}.{k}").alias(k) for k in names]) for i, c in enumerate(columns)])))
     best = F.greatest(*TYPES)
     kind = None
     for k in TYPES:
         kind = F.when(F.col(k) == best, k) if kind is None else kind.when(F.col(k) == best, k)
-    return rows.withColumn("type", F.when(F.col("n") == 0, "unknown").when(best < 0.6, "text").otherwise(kind))
+    return rows.withColumns({"type": F.when(F.col("n") == 0, "unknown").when(best < 0.6, "text").otherwise(kind), "confidence": F.when(F.col("n") == 0, 0.0).otherwise(best)})
 
 
 def canonical_name(name: str, aliases: dict[str, str] | None = None) -> str:
@@ -74,18 +84,15 @@ def rename_canonical(df: DataFrame, aliases: dict[str, str] | None = None) -> Da
 
 
 def systematic_sample(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Every k-th row of the order, k = rows // n. Row numbers come from counts per range partition, not from one global window."""
+    """Every k-th row of the order, k = rows // n. Row numbers are counted by buckets of the order, not in one global window."""
     rows = df.count()
     step = max(1, rows // n)
     return numbered(df, order).where(F.col("_row_id") % step == 0).drop("_row_id")
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds _row_id: 0, 1, 2... in the order of a column. Partitions of the range sort are counted, then offset."""
-    part = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    first = part.groupBy("_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_c"))
-    first = first.withColumn("_offset", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return part.join(F.broadcast(first.select("_p", "_first", "_offset")), "_p").withColumn("_row_id", F.col("_m") - F.col("_first") + F.col("_offset")).select(*df.columns, "_row_id")  # one row a partition
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds _row_id: 0, 1, 2... in the order of columns, nulls first."""
+    return ranked.before(df, list(order), F.lit(1), "_row_id")
 
 
 def positional_sample(df: DataFrame, order: str, n: int) -> DataFrame:

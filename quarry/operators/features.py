@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.scalars import safe_ratio
+from . import ranked
 
 
 def calendar(df: DataFrame, c: str) -> DataFrame:
@@ -73,8 +74,9 @@ def one_hot(df: DataFrame, c: str, most: int = DEFAULTS.one_hot_most) -> DataFra
 
 
 def label_encode(df: DataFrame, c: str) -> DataFrame:
-    """Codes of the sorted distinct values from 0; null stays null. Only distinct values are ranked."""
-    codes = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn(f"{c}_encoded", (F.row_number().over(Window.orderBy(c)) - 1).cast("long"))
+    """Codes of the sorted distinct values from 0; null stays null. Distinct values are ranked by buckets."""
+    codes = df.where(F.col(c).isNotNull()).select(c).distinct()
+    codes = ranked.before(codes, [c], F.lit(1), "_code").select(c, F.col("_code").cast("long").alias(f"{c}_encoded"))
     return df.join(codes, c, "left").select(*df.columns, f"{c}_encoded")
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
+from . import ranked
 from .profile import at
 
 
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """(value, n, rank): mean rank of each distinct value, smallest first. One task ranks distinct values only."""
+    """(value, n, rank): mean rank of each distinct value, smallest first. Values are counted first, then ranked by buckets."""
     v = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return v.withColumn("rank", before + (F.col("n") + 1) / 2)
+    return ranked.before(v, ["value"], F.col("n"), "_below").select("value", "n", (F.col("_below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -111,8 +111,7 @@ def rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFra
     """(g, n, rank_sum) per group, and one row (n, ties) of all; ties is the sum of t^3 - t."""
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).alias("value"), F.col(group).alias("g")).agg(F.count("*").alias("c"))
     all_n = x.groupBy("value").agg(F.sum("c").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = all_n.withColumn("rank", before + (F.col("n") + 1) / 2)
+    r = ranked.before(all_n, ["value"], F.col("n"), "_below").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     sums = x.join(r.select("value", "rank"), "value").groupBy("g").agg(F.sum("c").cast("double").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum"))
     cube = F.col("n").cast("double")
     return sums, all_n.agg(F.sum("n").cast("double").alias("n"), F.sum(cube * cube * cube - cube).alias("ties"))
@@ -184,7 +183,7 @@ def ks_normal(df: DataFrame, c: str) -> DataFrame:
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
     """Gini index of group sums, their coefficient of variation and largest over smallest; one row a group is ranked."""
     s = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group).agg(F.sum(value).alias("x"))
-    s = s.withColumn("i", F.row_number().over(Window.orderBy("x", group)))
+    s = ranked.before(s, ["x", group], F.lit(1), "_i").withColumn("i", F.col("_i") + 1)
     n, total = F.count("*").cast("double"), F.sum("x")
     g = F.when((n > 1) & (total != 0), 2 * F.sum(F.col("i") * F.col("x")) / F.nullif(n * total, F.lit(0.0)) - (n + 1) / n).otherwise(0.0)
     out = s.agg(g.alias("gini"), F.try_divide(F.stddev_samp("x"), F.avg("x")).alias("cv"), F.when(F.min("x") > 0, F.max("x") / F.nullif(F.min("x"), F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("ratio"))

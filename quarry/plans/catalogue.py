@@ -409,10 +409,32 @@ def pii_redact(t):
     return t.select("doc_id", F.sha2(S.redact_pii(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("documents", "orders")
+_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S", "%d-%m-%Y", "%Y/%m/%d", "%d.%m.%Y", "%Y", "%m/%Y", "%d-%b-%Y", "%d %B %Y", "%B %d, %Y"]
+_ISO = S.ISO_TIME
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_DETECT = (
+    "SELECT '{c}' AS \"column\", n, distinct_share, numeric, CASE WHEN numeric >= 0.8 THEN whole ELSE 0 END AS integer, CASE WHEN numeric >= 0.8 THEN numeric - whole ELSE 0 END AS float, datetime, boolean, "
+    "CASE WHEN distinct_share < 0.1 AND d > 1 THEN 1 - distinct_share ELSE 0 END AS categorical, CASE WHEN numeric > 0.8 AND wide / numeric > 0.8 THEN 0.9 ELSE least(0.8, 0.3 * places) END AS geographic, "
+    "CASE WHEN distinct_share >= 0.95 THEN distinct_share * ids ELSE 0 END AS id, currency, 0.3 AS text FROM (SELECT count(*) AS n, count(DISTINCT s) AS d, count(DISTINCT s) / count(*)::DOUBLE AS distinct_share, count(v) / count(*)::DOUBLE AS numeric, "
+    "count(*) FILTER (v = floor(v)) / count(*)::DOUBLE AS whole, count(*) FILTER (abs(v) <= 180) / count(*)::DOUBLE AS wide, "
+    f"greatest({', '.join(f"count(*) FILTER (try_strptime(CASE WHEN '{f}' <> '%Y' OR regexp_matches(s, '^[0-9]{{4}}$') THEN s END, '{f}') IS NOT NULL)" for f in _FORMATS)}, count(*) FILTER (regexp_matches(s, '{_ISO}') AND try_cast(s AS TIMESTAMP) IS NOT NULL)) / count(*)::DOUBLE AS datetime, "
+    f"greatest({', '.join(f"coalesce(bool_and(low IN ('{a}', '{b}')) FILTER (low NOT IN ('nan', 'none', '')), false)::INT" for a, b in detect.BOOLEAN_SETS)})::DOUBLE AS boolean, "
+    f"{' + '.join(f"max(contains(low, '{p}')::INT)" for p in detect.PLACES)} AS places, "
+    f"greatest({', '.join(f"count(*) FILTER (regexp_matches(s, '{p}'))" for p in detect.ID_PATTERNS)}) / count(*)::DOUBLE AS ids, "
+    f"greatest({', '.join(f"count(*) FILTER (regexp_matches(s, '{p}', 'i'))" for p in detect.CURRENCY_MARKS)}, count(*) FILTER (regexp_matches(regexp_replace(s, '[₹$,\\s]', '', 'g'), '{_NUMBER}'))) / count(*)::DOUBLE AS currency "
+    f"FROM (SELECT s, lower(trim(s)) AS low, CASE WHEN regexp_matches(trim(s), '{_NUMBER}') THEN try_cast(trim(s) AS DOUBLE) END AS v FROM (SELECT {{c}}::VARCHAR AS s FROM {{t}}) WHERE s IS NOT NULL))"
+)
+_TYPED = {"documents": ["doc_id", "lang", "source", "n_chars"], "orders": ["o_orderstatus", "o_orderdate", "o_totalprice"]}
+_SCORES = ", ".join(f'round("{k}"::DOUBLE, 6) AS "{k}"' for k in ["distinct_share", *detect.TYPES])
+_DETECTED = " UNION ALL ".join(_DETECT.replace("{c}", c).replace("{t}", t) for t, cs in _TYPED.items() for c in cs)
+_BEST = f"greatest({', '.join(detect.TYPES)})"
+
+
+@query("documents", "orders", sql=f"""SELECT "column", n, {_SCORES}, round({_BEST}::DOUBLE, 6) AS confidence, CASE WHEN {_BEST} < 0.6 THEN 'text' {' '.join(f"WHEN {k} = {_BEST} THEN '{k}'" for k in detect.TYPES)} END AS type FROM ({_DETECTED})""")
 def type_detection_scores(d, o):
-    a = detect.type_scores(d, ["doc_id", "lang", "source", "n_chars"])
-    return rounded(a.unionByName(detect.type_scores(o.select("o_orderstatus", F.col("o_orderdate").cast("string").alias("o_orderdate"), F.col("o_totalprice").cast("string").alias("o_totalprice")), ["o_orderstatus", "o_orderdate", "o_totalprice"])))
+    a = detect.type_scores(d, _TYPED["documents"])
+    return rounded(a.unionByName(detect.type_scores(o, _TYPED["orders"])))
+
 
 
 @query("customer", sql="SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i % (SELECT count(*) // 100 FROM customer) = 0")
@@ -489,5 +511,5 @@ def quantile_buckets(t):
     n = t.count()
     i = F.col("_row_id")
     big, small = n % 10, n // 10  # the first big buckets hold one row more
-    x = detect.numbered(t.withColumn("_s", F.struct("o_totalprice", "o_orderkey")), "_s")
+    x = detect.numbered(t, "o_totalprice", "o_orderkey")
     return x.select("o_orderkey", F.when(i < big * (small + 1), F.floor(i / (small + 1)) + 1).otherwise(big + F.floor((i - big * (small + 1)) / max(1, small)) + 1).cast("long").alias("bucket"))

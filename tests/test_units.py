@@ -111,3 +111,35 @@ def test_summaries_of_empty_and_odd_tables(spark):
     got = summary.safe_cast(odd, {"t": "integer", "absent": "float"}).orderBy("k").collect()
     assert [r.t for r in got][:2] == [7, None]
     assert summary.text_preview(odd, ["k"]).first().v == "NULL"
+
+
+def test_detectors(spark):
+    """Each detector on a column that is its own case."""
+    columns = {
+        "whole": ["700", "812", "812", "900"], "part": ["1000.5", "2000.25", "900.75", "900.75"], "day": ["3-Mar-2020", "14-Jan-2021", "1-Dec-1999", None],
+        "month": ["3/2020", "12/2021", "1/1999", "1/1999"], "flag": ["T", "f", " t ", "nan"], "place": ["Ward 3", "Block 4", "a village", "city"],
+        "code": ["AB1", "C22", "D3", "E4"], "money": ["₹ 5 crore", "Rs. 3", "2 lakh", "INR 4"], "at": ["12.5", "77.1", "-3.25", "88.5"], "none": [None] * 4, "words": ["one thing", "two things", "a third", "x"],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"`{c}` string" for c in columns))
+    got = {r["column"]: r for r in detect.type_scores(df, list(columns)).collect()}
+    kinds = {c: r["type"] for c, r in got.items()}
+    assert kinds == {"whole": "numeric", "part": "numeric", "day": "datetime", "month": "datetime", "flag": "boolean", "place": "geographic", "code": "id", "money": "text", "at": "numeric", "none": "unknown", "words": "text"}
+    assert got["whole"]["integer"] == 1 and got["part"]["float"] == 1 and got["at"]["geographic"] == 0.9 and got["place"]["geographic"] == 0.8 and got["money"]["currency"] == 0.25
+    assert got["none"]["confidence"] == 0 and got["words"]["confidence"] == 0.3
+
+
+def test_numbers_by_bucket(spark):
+    """Row numbers and running sums over many buckets, with ties, nulls, text and times."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import ranked, stats
+
+    df = spark.range(2000).select(F.col("id"), (F.col("id") * 7919 % 13).alias("k"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("w"), (F.col("id") * 31 % 400).cast("string"))).alias("s"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 90).cast("int")).alias("d"))
+    for c in ("k", "s", "d"):
+        rows = [(r[c], r["id"]) for r in detect.numbered(df, c, "id").orderBy("_row_id").collect()]
+        assert rows == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]) if c != "s" else (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(r["_row_id"] for r in detect.numbered(df, "k").collect()) == list(range(2000))
+    rank = {r["value"]: r["rank"] for r in stats.average_ranks(df, "k").collect()}
+    ordered = sorted(i * 7919 % 13 for i in range(2000))
+    assert rank == {k: ordered.index(k) + (ordered.count(k) + 1) / 2 for k in range(13)}
+    assert ranked.before(df.where("id < 0"), ["k"], F.lit(1), "n").collect() == []
