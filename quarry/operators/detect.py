@@ -62,8 +62,34 @@ def type_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({"type": F.when(F.col("n") == 0, "unknown").when(best < 0.6, "text").otherwise(kind), "confidence": F.when(F.col("n") == 0, 0.0).otherwise(best)})
 
 
+# Aliases of column names and the names that they stand for.
+ALIASES = {
+    "dist": "district", "district_name": "district", "district_id": "district",
+    "mandal_name": "mandal", "mandal_id": "mandal", "sub_district": "mandal",
+    "village_name": "village", "village_id": "village", "gram_panchayat": "village",
+    "reg_date": "date", "registration_date": "date", "created_date": "date",
+    "fin_year": "year", "financial_year": "year", "fy": "year",
+    "total_count": "total", "count": "total", "number": "total", "qty": "total",
+    "amount_rs": "amount", "amount_inr": "amount", "value_rs": "amount",
+}
+# Words of column names that hint at a kind of column.
+HINTS = {
+    "geographic": ["district", "mandal", "village", "zone", "area", "region", "location"],
+    "temporal": ["date", "time", "year", "month", "quarter", "period"],
+    "metric": ["count", "total", "amount", "value", "rate", "percent", "number"],
+    "identifier": ["id", "code", "number", "ref", "key"],
+}
+
+
+def domain_hint(name: str, kind: str) -> str | None:
+    """The hint of a column's name, for a kind of type_scores: places in text, times in text or datetimes, metrics in numbers; an id wins over all."""
+    low, fits = name.lower(), {"geographic": ("text", "categorical", "geographic"), "temporal": ("text", "datetime"), "metric": ("numeric", "integer", "float")}
+    found = [h for h, words in HINTS.items() if any(w in low for w in words) and kind in fits.get(h, (kind,))]
+    return found[-1] if found else None
+
+
 def canonical_name(name: str, aliases: dict[str, str] | None = None) -> str:
-    """Snake case without symbols; an alias wins; names that are empty or start with a digit get a prefix."""
+    """Snake case without symbols; an alias (see ALIASES) wins; names that are empty or start with a digit get a prefix."""
     if aliases and name.lower() in aliases:
         return aliases[name.lower()]
     out = re.sub(r"[^A-Za-z0-9\s_]", "", name)

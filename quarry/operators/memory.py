@@ -68,3 +68,61 @@ def most_effective(df: DataFrame, domain: str, remediation: str, effect: str, mo
     n = df.groupBy(domain, remediation).agg(F.avg(effect).alias("effectiveness"))
     w = Window.partitionBy(domain).orderBy(F.desc("effectiveness"), remediation)
     return n.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most)
+
+
+# Parts of column names by which mappings of similar columns are sought, in this order.
+NAME_PARTS = ["date", "time", "id", "name", "amount", "count", "total", "district", "mandal", "village"]
+
+
+def suggest_by_pattern(mappings: DataFrame, names: list[str], original: str, choice: str, confidence: str) -> DataFrame:
+    """(name, choice, confidence, pattern): for each new column name, by the first part that it shares with known names, the choice
+    of the best mean confidence among these, at 0.8 of it. Names without such a part are left out."""
+    low = F.lower(F.col(original))
+    known = mappings.select(F.explode(F.filter(F.lit(NAME_PARTS), lambda p: low.contains(p))).alias("pattern"), F.col(choice).alias("choice"), F.col(confidence).cast("double").alias("confidence"))
+    votes = known.groupBy("pattern", "choice").agg(F.avg("confidence").alias("confidence"))
+    best = votes.withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy(F.desc("confidence"), "choice"))).where("_r = 1")
+    asked = [F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(i).alias("at")) for n in names for i, p in enumerate(NAME_PARTS) if p in n.lower()]
+    if not asked:
+        return best.select(F.lit(None).cast("string").alias("name"), "choice", "confidence", "pattern").where(F.lit(False))
+    # one row a pattern in best, few names
+    out = best.withColumn("a", F.explode(F.filter(F.array(*asked), lambda a: a["pattern"] == F.col("pattern"))))
+    first = out.groupBy(F.col("a.name").alias("name")).agg(F.min_by(F.struct("choice", "confidence", "pattern"), "a.at").alias("b"))
+    return first.select("name", "b.choice", (0.8 * F.col("b.confidence")).alias("confidence"), "b.pattern")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of several tables."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """Makes tables of the run memory readable from SQL."""
+    for name, t in tables.items():
+        t.createOrReplaceTempView(name)
+
+
+def similar_runs(runs: DataFrame, key: str, schema: str, domain: str, columns: str, time: str, run, fingerprint, of, width: int, exact: int = 5, near: int = 5, most: int = 5) -> DataFrame:
+    """At most five runs: those of the same schema, the latest first, then those of the domain nearest in number of columns."""
+    others = runs.where(F.col(key) != F.lit(run))
+    same = others.where(F.col(schema) == F.lit(fingerprint)).orderBy(F.desc(time), key).limit(exact)
+    same = same.withColumns({"similarity": F.lit("exact_schema_match"), "_gap": F.lit(0).cast("double"), "_o": F.lit(0)})
+    gap = F.abs(F.col(columns) - width).cast("double")
+    like = others.where(F.col(domain) == F.lit(of)).orderBy(gap, F.desc(time), key).limit(near)
+    like = like.join(same.select(key), key, "left_anti").withColumns({"similarity": F.lit("domain_similarity"), "_gap": gap, "_o": F.lit(1)})
+    return same.unionByName(like).orderBy("_o", "_gap", F.desc(time), key).limit(most).drop("_o", "_gap")
+
+
+def insights(runs: DataFrame, patterns: DataFrame, domain: str, quality: str, issue: str, low: float = 70.0, experienced: int = 5) -> DataFrame:
+    """(domain, runs, quality, low_quality, experienced, top_issue): what the memory knows of each domain."""
+    known = runs.groupBy(domain).agg(F.count("*").alias("runs"), F.avg(quality).alias("quality"))
+    top = most_frequent(patterns, domain, issue, 1).select(domain, F.col(issue).alias("top_issue"))
+    return known.join(top, domain, "left").select(domain, "runs", "quality", (F.col("quality") < low).alias("low_quality"), (F.col("runs") > experienced).alias("experienced"), "top_issue")
+
+
+def latest(df: DataFrame, time: str, key: str, most: int = 100) -> DataFrame:
+    """The newest rows: a bounded history is its purpose."""
+    return df.orderBy(F.desc(time), key).limit(most)

@@ -143,3 +143,34 @@ def test_numbers_by_bucket(spark):
     ordered = sorted(i * 7919 % 13 for i in range(2000))
     assert rank == {k: ordered.index(k) + (ordered.count(k) + 1) / 2 for k in range(13)}
     assert ranked.before(df.where("id < 0"), ["k"], F.lit(1), "n").collect() == []
+
+
+def test_reports(spark):
+    from quarry.operators import reports
+
+    gates = spark.createDataFrame([("rows", False, "critical", 3.0), ("missing", False, "warning", 0.6), ("copies", True, "warning", 0.0)], "gate string, passed boolean, severity string, value double")
+    scores = spark.createDataFrame([(75.0, 90.0, 55.0, 45.0)], "data_completeness double, data_consistency double, schema_quality double, overall_score double")
+    advice = reports.remediation(gates, scores)
+    got = [(r["type"], r["priority"], r["subject"]) for r in advice.collect()]
+    assert got[0] == ("overall_quality", "critical", "overall_score") and [p for _, p, _ in got] == ["critical", "high", "high", "medium", "medium"]
+    assert set(got) >= {("validation_failure", "high", "rows"), ("validation_failure", "medium", "missing"), ("data_quality", "high", "data_completeness"), ("schema_inference", "medium", "schema_quality")}
+    assert tuple(reports.total_effort(advice).first()) == (17, "high") and reports.total_effort(advice.limit(0)).first()["effort"] == "low"
+    assert reports.remediation(gates.where("passed"), scores.selectExpr("100d data_completeness", "100d data_consistency", "100d schema_quality", "95d overall_score")).collect() == []
+    tests = spark.createDataFrame([(True,), (False,), (None,), (True,)], "significant boolean")
+    assert tuple(reports.test_summary(tests).first()) == (4, 2, 0.5) and reports.test_summary(tests.limit(0)).first()["significant_share"] is None
+    assert [reports.overall_confidence(*x) for x in ((0, 90), (0, 75), (0, 10), (1, 90), (4, 90))] == ["HIGH", "MEDIUM", "LOW", "MEDIUM", "LOW"]
+    empty = spark.createDataFrame([], "id long, x double, c_encoded string, x_norm double")
+    assert reports.fill_derived(empty).collect() == [] and reports.statistical_summary(empty).first()["completeness"] is None
+    assert reports.findings_confidence(empty.selectExpr("c_encoded confidence")).first()["score"] == 75
+    assert {r["column"]: r["transformation"] for r in reports.before_and_after(empty, empty.drop("x"), "id").collect()} == {"id": "preserved", "x": "dropped", "c_encoded": "preserved", "x_norm": "preserved"}
+    assert detect.domain_hint("Total_amount", "numeric") == "metric" and detect.domain_hint("district", "text") == "geographic" and detect.domain_hint("district_code", "text") == "identifier" and detect.domain_hint("x", "text") is None
+    assert detect.canonical_name("Qty", detect.ALIASES) == "total"
+
+
+def test_memory(spark):
+    known = spark.createDataFrame([("reg_date", "date", 0.9), ("created_date", "date", 0.7), ("date_x", "when", 0.6), ("user_id", "id", 0.5)], "original string, choice string, confidence double")
+    got = {r["name"]: (r["choice"], round(r["confidence"], 6), r["pattern"]) for r in memory.suggest_by_pattern(known, ["Entry Date", "paid_date", "Name", "z"], "original", "choice", "confidence").collect()}
+    assert got == {"Entry Date": ("date", 0.64, "date"), "paid_date": ("date", 0.64, "date")}
+    assert memory.suggest_by_pattern(known, ["z"], "original", "choice", "confidence").collect() == []
+    memory.register_views({"mappings_view": known})
+    assert spark.sql("select count(*) from mappings_view").first()[0] == 4
