@@ -9,6 +9,7 @@ from .mixing import op4_mix_sources
 from .neardup import op1_near_duplicates
 from .packing import op10_packing
 from .quality import op9_quality_rules
+from .resampling import op11_importance_resampling
 from .secrets import op8_secret_scan
 from .substrings import op3_substring_dedup
 from .vectors import op7_embedding_links
@@ -20,7 +21,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, op11_importance_resampling, pipeline)}
 
 # A blank is one of space and \t \n \v \f \r. [^...]+ are words.
 _BLANK = r"\x20\x09-\x0D"
@@ -28,6 +29,21 @@ _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op11_importance_resampling": f"""
+        WITH steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents),
+        goal AS (SELECT unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+        spelt AS (SELECT w, hex(w) AS x FROM (SELECT w FROM words UNION SELECT w FROM goal)),
+        hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM spelt, steps),
+        s AS (SELECT b, count(*) AS n FROM words JOIN hashed USING (w) GROUP BY b),
+        t AS (SELECT b, count(*) AS n FROM goal JOIN hashed USING (w) GROUP BY b),
+        gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+        weighed AS (SELECT doc_id, count(*) AS n, sum(g) AS weight FROM words JOIN hashed USING (w) JOIN gain USING (b) GROUP BY doc_id),
+        scored AS (SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+            (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM documents d LEFT JOIN weighed USING (doc_id)),
+        drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS all_rows FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * all_rows // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (doc_id)""",
     "op6_line_dedup": f"""
         WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
         keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_STRIP})")} AS k FROM split),
