@@ -12,6 +12,7 @@ from .quality import op9_quality_rules
 from .resampling import op11_importance_resampling
 from .secrets import op8_secret_scan
 from .substrings import op3_substring_dedup
+from .suffixes import op12_suffix_dedup
 from .vectors import op7_embedding_links
 
 
@@ -21,7 +22,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, op11_importance_resampling, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, op11_importance_resampling, op12_suffix_dedup, pipeline)}
 
 # A blank is one of space and \t \n \v \f \r. [^...]+ are words.
 _BLANK = r"\x20\x09-\x0D"
@@ -61,6 +62,17 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_suffix_dedup": """
+        WITH x AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+        starts AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 399)) AS i FROM x WHERE length(x) >= 800),
+        w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 800)) AS h FROM starts JOIN x USING (doc_id)),
+        gone AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+        grouped AS (SELECT *, sum(CASE WHEN i <= p + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone),
+        spans AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS e FROM grouped GROUP BY doc_id, g),
+        gaps AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+        kept AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(x), 2 * max(e) + 1) AS k FROM gaps JOIN x USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+        FROM x LEFT JOIN kept USING (doc_id)""",
     "op4_mix_sources": f"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^{_BLANK}]+'))::BIGINT AS size, ('0x' || substr(md5('0:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
