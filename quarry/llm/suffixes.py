@@ -183,6 +183,15 @@ class Trees:
             child[own] = v
 
 
+def more_than_twice(x: np.ndarray) -> np.ndarray:
+    """Marks the third and later occurrence of each number."""
+    order = np.argsort(x, kind="stable")
+    out = np.zeros(len(x), bool)
+    if len(x) > 2:
+        out[order[2:]] = x[order[2:]] == x[order[:-2]]
+    return out
+
+
 def row_ids(doc_id: str, text: str) -> list[Column]:
     """128 bits that name a row by its id and text."""
     d, t = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\0null")), F.col(f"`{text}`")
@@ -192,11 +201,13 @@ def row_ids(doc_id: str, text: str) -> list[Column]:
 class Repeats:
     """The stored tables between the steps: all anchors whose string stands at two places or more, and what is asked of texts."""
 
-    def __init__(self, slim: DataFrame, window: int, crowd: int):
-        self.slim, self.window, self.spark = slim, window, slim.sparkSession
+    def __init__(self, slim: DataFrame, window: int, crowd: int, fold: bool = False):
+        """fold: of a context that a text holds more than twice, as texts with a period do, only two go on; the others are repeats for certain (known)."""
+        self.slim, self.window, self.spark, self.fold = slim, window, slim.sparkSession, fold
         keys = ["key", "context"]
         found = stored(slim.mapInArrow(self._anchors(), "key long, context long, d1 long, d2 long, lo int, at int, hi int"), "anchors")
-        twice = stored(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+        self.known = stored(found.where("key is null").select("d1", "d2", "lo", (F.col("hi") + window).alias("end")), "known") if fold else None
+        twice = stored(found.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
         self.level = stored(found.join(twice, "key", "left_semi"), "level")
         dropped(self.spark, found, twice)
         kinds = self.level.groupBy(keys).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d1", "d2", "lo", "at", "hi")])
@@ -207,7 +218,7 @@ class Repeats:
         self.ask = stored(ask.select("d1", "d2", "crowded", F.struct("key", "context", "lo", "at", "hi", (F.col("n") == 1).alias("alone")).alias("a"), "single"), "asked")
 
     def _anchors(self):
-        window = self.window
+        window, fold = self.window, self.fold
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rolling = Rolling(window)
@@ -216,8 +227,18 @@ class Repeats:
                 for i, _, data, at in parts(*raw(batch.column(2))):
                     key, context, *where = rolling.anchors(data, at)
                     text = np.searchsorted(at, where[0], "right") - 1
-                    out = [key.view(np.int64), context.view(np.int64), ids[0][i + text], ids[1][i + text], *[(x - at[text]).astype(np.int32) for x in where]]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), ["key", "context", "d1", "d2", "lo", "at", "hi"])
+                    known = np.zeros(len(key), bool)
+                    if fold:
+                        lo, hi, known = where[0], where[2], more_than_twice(mixed(key * C1 + context * C2 + text.astype(np.uint64) * C3))
+                        own = np.flatnonzero(known)
+                        first = own[np.r_[True, (text[own[1:]] != text[own[:-1]]) | (lo[own[1:]] > hi[own[:-1]] + window)]] if len(own) else own
+                        last = own[np.r_[np.searchsorted(own, first[1:]) - 1, len(own) - 1]] if len(own) else own
+                        hi[first] = hi[last]  # one row for what they cover together
+                        rest = known.copy()
+                        rest[first] = False
+                        key, context, text, known, where = key[~rest], context[~rest], text[~rest], known[~rest], [x[~rest] for x in where]
+                    out = [ids[0][i + text], ids[1][i + text], *[(x - at[text]).astype(np.int32) for x in where]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), mask=known), pa.array(context.view(np.int64)), *map(pa.array, out)], ["key", "context", "d1", "d2", "lo", "at", "hi"])
 
         return find
 
@@ -339,11 +360,11 @@ def suffix_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("a window has two bytes or more")
     spark = docs.sparkSession
     with scratch(spark) as keep, small_batches(spark):
-        found = Repeats(slim_rows(docs, doc_id, text, window), window, crowd)
+        found = Repeats(slim_rows(docs, doc_id, text, window), window, crowd, fold=True)
         whole = found.whole().select("d1", "d2", "lo", (F.col("hi") + window).alias("end"))
         trees = found.scanned(found.contexts(False), groups=False)
         crowds = found.crowds().where("alone").select("d1", "d2", F.col("at").alias("lo"), (F.col("at") + window).alias("end"))
-        ranges = whole.unionByName(trees).unionByName(crowds).groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "end")).alias("ranges"))
+        ranges = whole.unionByName(trees).unionByName(crowds).unionByName(found.known).groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "end")).alias("ranges"))
         ranges = stored(ranges, "ranges")
         keep(ranges)
     d1, d2, at, cut_ = free_names(docs, "_d1", "_d2", "_ranges", "_cut")
