@@ -8,6 +8,7 @@ from .lm import op5_lm_scores
 from .mixing import op4_mix_sources
 from .neardup import op1_near_duplicates
 from .packing import op10_packing
+from .phrases import op13_phrase_collocations
 from .quality import op9_quality_rules
 from .resampling import op11_importance_resampling
 from .secrets import op8_secret_scan
@@ -22,7 +23,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, op11_importance_resampling, op12_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_license_scan, op3_substring_dedup, op4_mix_sources, op5_lm_scores, op6_line_dedup, op7_embedding_links, op8_secret_scan, op9_quality_rules, op10_packing, op11_importance_resampling, op12_suffix_dedup, op13_phrase_collocations, pipeline)}
 
 # A blank is one of space and \t \n \v \f \r. [^...]+ are words.
 _BLANK = r"\x20\x09-\x0D"
@@ -62,6 +63,18 @@ ORACLE_SQL = {
         kept AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
         SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op13_phrase_collocations": f"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+        totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+        grams AS (SELECT lang, words[i:i + k - 1] AS g FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, range(1, 5) r(k))),
+        f AS (SELECT lang, g, count(*)::BIGINT AS a FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+        cuts AS (SELECT f.lang, f.g, f.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * f.a // (x.a + y.a))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f) f JOIN f x ON x.lang = f.lang AND x.g = f.g[1:k] JOIN f y ON y.lang = f.lang AND y.g = f.g[k + 1:]),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inside AS (SELECT lang, g[i:i + k - 1] AS g, max(a) AS longer FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM f, range(2, 4) r(k) WHERE k < len(g)) GROUP BY ALL),
+        named AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE i.longer IS NULL OR 100 * i.longer < 80 * b.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named JOIN totals USING (lang) QUALIFY rank <= 2000""",
     "op12_suffix_dedup": """
         WITH x AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
         starts AS (SELECT doc_id, unnest(range(0, length(x) // 2 - 399)) AS i FROM x WHERE length(x) >= 800),

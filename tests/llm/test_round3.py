@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import phrases as mining
 from quarry.llm import resampling, suffixes
 from quarry.llm.common import Words
 
@@ -168,3 +169,75 @@ def test_anchors_do_not_hang_on_the_size_of_parts():
     key = lambda x: sorted(zip(*[c.tolist() for c in x[2:]], strict=True))
     assert key(one) == key(other) and sum((one[4] - one[2] + 1).tolist()) == sum(max(0, len(t) - 39) for t in texts)
     assert Words.BASE % 2
+
+
+# Phrase mining
+
+
+def mined(rows, least, most_words=4, keep_share=80, most=2000):
+    n, f = collections.Counter(), collections.defaultdict(collections.Counter)
+    for _, text, lang, _ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lower(text)):
+            w = re.findall("[^ \t]+", piece)
+            n[lang] += len(w)
+            for k in range(1, most_words + 1):
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, own in f.items():
+        often = {g: a for g, a in own.items() if a >= least}
+        longer = collections.Counter()
+        for g, a in often.items():
+            for k in range(2, len(g)):
+                for i in range(len(g) - k + 1):
+                    longer[g[i : i + k]] = max(longer[g[i : i + k]], a)
+        found = []
+        for g, a in often.items():
+            if len(g) > 1 and not (longer[g] and 100 * longer[g] >= keep_share * a):
+                score, k = min((2_000_000 * a // (own[g[:k]] + own[g[k:]]), k) for k in range(1, len(g)))
+                found.append((-score, -a, " ".join(g).encode(), own[g[:k]], own[g[k:]]))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(found)[:most])]
+    return sorted(out)
+
+
+def speech(seed, n=40):
+    r = random.Random(seed)
+    words = ["New", "york", "CITY", "of", "the", "é\u00a0x", "data", "set", "machine", "learning", "\x00z", "in"]
+    return "".join(r.choice([*words, "new york city of", "machine learning data set"]) + r.choice([" ", " ", " ", "  ", "\t", ", ", ".\n", "\r"]) for _ in range(n))
+
+
+SPEECH = [(i, speech(i), [None, "en", "und", "fr"][i % 4], "x") for i in range(60)] + [(None, None, "en", "x"), (1, "", "en", "x"), (2, " \t,.;\n", "de", "x"), (3, speech(3), "en", "x"), (3, speech(3), "en", "x"), (4, "lone " * 3000, "fr", "x"), (5, "y" * 5000 + " " + speech(9, 2000), "en", "x")]
+
+
+@pytest.mark.parametrize(("shard", "bits", "most_words"), [(1_500_000, 1 << 26, 4), (300, 1 << 26, 4), (300, 64, 3), (300, 1 << 12, 2)])
+def test_collocations(spark, monkeypatch, shard, bits, most_words):
+    """Also with many small shards, and with a filter so small that it lets everything pass."""
+    monkeypatch.setattr(mining, "SHARD_WORDS", shard)
+    monkeypatch.setattr(mining, "FILTER_BITS", bits)
+    docs = spark.createDataFrame(SPEECH, SCHEMA).withColumns({c: F.lit("user") for c in ("w1", "a", "n", "word", "h", "phrase")}).repartition(5)
+    got = mining.top_phrases(mining.collocations(docs, least=5, most_words=most_words), most=40, salts=3)
+    want = mined(SPEECH, 5, most_words, most=40)
+    assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in got.collect()) == want
+    assert len(want) > 50 and len({r[0] for r in want}) == 3
+
+
+def test_collocations_of_nothing(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert mining.top_phrases(mining.collocations(none)).count() == 0
+    few = spark.createDataFrame([(1, "only one pair", "en", "x")], SCHEMA)
+    assert mining.collocations(few).count() == 0
+
+
+def test_walk_over_range_edges(spark):
+    """Counts above the first node of a range come from an earlier range."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcde") for _ in range(400)), "en", "x") for i in range(8)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mining.top_phrases(mining.collocations(spark.createDataFrame(rows, SCHEMA), least=3)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(x[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for x in got) == mined(rows, 3)
