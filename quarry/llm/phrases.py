@@ -21,7 +21,7 @@ from .common import Words, dropped, mixed, scratch, small_batches, stored
 from .texts import parts, raw
 
 #: Words of a shard, whose trie a task holds in memory. Below 2**21, so that three of a shard's word numbers fit into 63 bits.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 700_000
 #: Bits of the filter that is broadcast: 8 MB, however many pairs there are. When it fills, more phrases are counted in vain.
 FILTER_BITS = 1 << 26
 #: Bytes of text for which one hash range is made.
@@ -55,13 +55,13 @@ class PieceWords(Words):
             start, ids = self._part(part)
             end = np.flatnonzero(self.blank[part] & ~np.r_[True, self.blank[part[:-1]]])
             piece = np.cumsum(self.ends[part]) + before
-            found.append((start + at, end + at, ids, piece[start]))
+            found.append(((start + at).astype(np.int32), (end + at).astype(np.int32), ids, piece[start].astype(np.int32)))
             at, before = stop, int(piece[-1])
-        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else tuple(np.empty(0, t) for t in (np.int32, np.int32, np.uint64, np.int32))
 
 
 class Shard:
-    """Some words of a task's texts: ids that hang on word and language, pieces, and where each word's bytes are."""
+    """Some words of a task's texts, up to 2 GB: ids that hang on word and language, pieces, and where each word's bytes are."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, piece: np.ndarray, text: np.ndarray, langs: list[str]):
         self.data, self.start, self.end, self.ids, self.text, self.langs = data, start, end, ids, text, langs
@@ -79,18 +79,19 @@ def shards(batches: Iterator[pa.RecordBatch], words: PieceWords) -> Iterator[Sha
     def made() -> Shard:
         offset = np.cumsum([0, *[len(h[0]) for h in held]])
         data, start, end, ids, piece, text = zip(*held, strict=True)
+        held.clear()
         pieces = np.cumsum([0, *[int(p[-1]) + 1 if len(p) else 0 for p in piece]])
-        moved = lambda arrays, by: np.concatenate([a + b for a, b in zip(arrays, by[:-1], strict=True)])
+        moved = lambda arrays, by: np.concatenate([a + np.int32(b) for a, b in zip(arrays, by[:-1], strict=True)])
         return Shard(np.concatenate(data), moved(start, offset), moved(end, offset), np.concatenate(ids), moved(piece, pieces), np.concatenate(text), langs)
 
     for batch in batches:
         hashes = np.asarray(batch.column(2)).view(np.uint64)
         names = batch.column(1).to_pylist()
-        for i, j, data, at in parts(*raw(batch.column(0)), most=1 << 21):
+        for i, j, data, at in parts(*raw(batch.column(0)), most=1 << 20):
             room = np.full(len(data) + j - i, ord("\n"), np.uint8)  # a text ends its last piece
             room[np.arange(len(data)) + np.repeat(np.arange(j - i), np.diff(at))] = data
             start, end, ids, piece = words.spans(room)
-            text = np.searchsorted(at + np.arange(j - i + 1), start, "right") - 1
+            text = (np.searchsorted(at + np.arange(j - i + 1), start, "right") - 1).astype(np.int32)
             ids = mixed(ids ^ hashes[i:j][text])
             ids[ids == np.uint64(1 << 63)] += np.uint64(1)  # stands for no word
             held.append((room, start, end, ids, piece, text + texts))
@@ -98,7 +99,7 @@ def shards(batches: Iterator[pa.RecordBatch], words: PieceWords) -> Iterator[Sha
             langs += names[i:j]
             if n >= SHARD_WORDS:
                 yield made()
-                held, n, texts, langs = [], 0, 0, []
+                n, texts, langs = 0, 0, []
     if n:
         yield made()
 
