@@ -1,14 +1,16 @@
 """Operator 13, phrase collocation mining: depth-limited count tries of shards, merged by prefix range.
 
 A first pass serialises of every shard the hashes of its words and word pairs, sorted, with counts, in blocks of hash ranges; a range's blocks
-are merged and the hashes that reach the least count go into a bit filter of fixed size. The second pass builds a count trie of
-each shard, of words and phrases all of whose words and pairs pass the filter (others can't reach the least count). Tries are stored in
-trie order. Spark sorts all of them into prefix ranges, where equal nodes meet and a walk adds them up; the nodes on the way down
-are the left parts of a phrase. Right parts come by suffix links, from a phrase to the one without its first word, a depth at a time.
+are merged and the hashes that reach the least count go into a bit filter of fixed size. A second pass does the same for triples whose pairs pass.
+The third pass builds a count trie of each shard, of words and phrases all of whose words, pairs and triples pass the filter (others can't reach the
+least count); a task merges its shards' tries and stores them in trie order. Spark sorts all of them into prefix ranges, where equal nodes meet and a walk
+adds them up; the nodes on the way down are the left parts of a phrase. Right parts come by suffix links, from a phrase to the one without its first
+word, a depth at a time.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ FILTER_BITS = 1 << 26
 RANGE_BYTES = 1 << 24
 #: Marks of a text at which pieces end; no phrase goes on over them.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-C1, C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+#: Nodes that a task holds while it merges the tries of its shards.
+MERGED_NODES = 1_500_000
+C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 W = ["w1", "w2", "w3", "w4"]
 NONE = np.iinfo(np.int64).min
 
@@ -71,6 +75,18 @@ class Shard:
         """Hashes of all words, and of each word with the next."""
         return mixed(self.ids * C1), mixed(self.ids[:-1] * C1 + self.ids[1:] * C2)
 
+    def triples(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the words at some places with the two after them."""
+        return mixed(self.ids[at] * C1 + self.ids[at + 1] * C2 + self.ids[at + 2] * C3)
+
+    def frequent_pairs(self, bits: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Words that pass the filter, and words that pass it with the next one of their piece."""
+        one, two = self.keys()
+        fit = passing(bits, one >> cut)
+        pairs = self.together & fit[1:] & fit[:-1]
+        pairs[pairs] = passing(bits, two[pairs] >> cut)
+        return fit, pairs
+
 
 def shards(batches: Iterator[pa.RecordBatch], words: PieceWords) -> Iterator[Shard]:
     """The texts of a task's batches of (text, lang, lang's hash), SHARD_WORDS or a long text at a time."""
@@ -116,8 +132,9 @@ def passing(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def frequent_filter(texts: DataFrame, least: int, range_bits: int) -> np.ndarray:
-    """Bits that are set for all words and pairs that stand `least` times or more in a language; few others pass.
+def frequent_filter(texts: DataFrame, least: int, range_bits: int, known=None) -> np.ndarray:
+    """Bits that are set for all words and pairs that stand `least` times or more in a language; few others pass. known: a broadcast filter of
+    these; then the same for triples whose pairs pass it.
 
     Hashes are cut to 32 bits beyond the range; those that fall together only let more pass.
     """
@@ -127,8 +144,13 @@ def frequent_filter(texts: DataFrame, least: int, range_bits: int) -> np.ndarray
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = PieceWords()
         for shard in shards(batches, words):
-            one, two = shard.keys()
-            keys, n = np.unique(np.concatenate([one, two[shard.together]]) >> cut, return_counts=True)
+            if known is None:
+                one, two = shard.keys()
+                keys = np.concatenate([one, two[shard.together]])
+            else:
+                _, pairs = shard.frequent_pairs(known.value, cut)
+                keys = shard.triples(np.flatnonzero(pairs[:-1] & pairs[1:]))
+            keys, n = np.unique(keys >> cut, return_counts=True)
             n = np.minimum(n, least).astype(kind)  # a shard's count that is enough by itself stays enough
             edge = np.searchsorted(keys >> np.uint64(32), np.arange((1 << range_bits) + 1, dtype=np.uint64))
             rest = keys.astype(np.uint32)
@@ -162,29 +184,28 @@ def frequent_filter(texts: DataFrame, least: int, range_bits: int) -> np.ndarray
         if held:
             yield close(r, held)
 
-    made = stored(texts.mapInArrow(blocks, "range int, keys binary, n binary"), "pair-blocks")
+    made = texts.mapInArrow(blocks, "range int, keys binary, n binary")
     merged = made.repartition("range").sortWithinPartitions("range").mapInArrow(merge, "word int, bits long")
     found = merged.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
-    dropped(texts.sparkSession, made)
-    out = np.zeros(FILTER_BITS >> 6, np.uint64)
-    out[np.asarray(found["word"])] = np.asarray(found["bits"]).view(np.uint64)
+    out = np.zeros(FILTER_BITS >> 6, np.uint64) if known is None else known.value.copy()
+    out[np.asarray(found["word"])] |= np.asarray(found["bits"]).view(np.uint64)
     return out
 
 
-def trie(shard: Shard, fit: np.ndarray, pairs: np.ndarray, most_words: int) -> tuple[np.ndarray, np.ndarray]:
+def trie(shard: Shard, pairs: np.ndarray, triples: np.ndarray, most_words: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's phrases of two words or more as (path of four ids, count), in trie order.
 
-    fit: words, and pairs: words with the next, that may be part of a phrase.
+    pairs: words with the next, and triples: words with the next two, that may be part of a phrase.
     """
     at = np.flatnonzero(pairs)
     ids = shard.ids.view(np.int64)
     known, number = np.unique(ids, return_inverse=True)
     number = np.r_[number + 1, 0, 0, 0]
-    goes = np.r_[pairs, False, False, False]
+    goes = np.r_[triples, False, False, False, False]
     codes = [number[at], number[at + 1]]
     more = np.ones(len(at), bool)
     for k in (2, 3):
-        more = more & goes[at + k - 1] & (k < most_words)
+        more = more & goes[at + k - 2] & (k < most_words)
         codes.append(np.where(more, number[at + k], 0))
     order = np.lexsort(codes[::-1]) if len(known) >= 1 << 21 else np.lexsort((codes[3], (codes[0] << 42) | (codes[1] << 21) | codes[2]))
     codes = [c[order] for c in codes]
@@ -203,6 +224,36 @@ def trie(shard: Shard, fit: np.ndarray, pairs: np.ndarray, most_words: int) -> t
     return path, n
 
 
+def merged(tries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several tries as one, in trie order."""
+    path, n = (np.concatenate(x, axis=-1) for x in zip(*tries, strict=True))
+    order = np.lexsort(path[::-1])
+    path, n = path[:, order], n[order]
+    new = np.flatnonzero(np.r_[True, (path[:, 1:] != path[:, :-1]).any(axis=0)]) if len(n) else np.empty(0, np.int64)
+    return path[:, new], np.add.reduceat(n, new) if len(n) else n
+
+
+class Vocabulary:
+    """Counts of words with the words themselves and their languages, added up over a task's shards."""
+
+    def __init__(self):
+        self.ids, self.n, self.lang, self.word = np.empty(0, np.int64), np.empty(0, np.int64), pa.array([], pa.string()), pa.array([], pa.string())
+
+    def add(self, shard: Shard, fit: np.ndarray, lower: np.ndarray) -> None:
+        at = np.flatnonzero(fit)
+        ids, first, n = np.unique(shard.ids[at].view(np.int64), return_index=True, return_counts=True)
+        new = ~np.isin(ids, self.ids)
+        data, where = lower[shard.data], at[first[new]]
+        word = pa.array([data[a:b].tobytes() for a, b in zip(shard.start[where], shard.end[where], strict=True)], pa.binary()).cast(pa.string())
+        lang = pa.array([shard.langs[t] for t in shard.text[where]], pa.string())
+        every = np.concatenate([self.ids, ids[new]])
+        order = np.argsort(every)
+        counts = np.concatenate([self.n, np.zeros(new.sum(), np.int64)])[order]
+        self.ids, self.lang, self.word = every[order], pa.concat_arrays([self.lang, lang]).take(pa.array(order)), pa.concat_arrays([self.word, word]).take(pa.array(order))
+        counts[np.searchsorted(self.ids, ids)] += n
+        self.n = counts
+
+
 def walked(least: int):
     """Adds up equal nodes of a sorted range of tries: (part, head, w1..w4, a, l1, l2, l3) of nodes with least or more, l1..l3 the
     counts of the nodes above, null where those stand in an earlier range; and the first node of the range once more as head."""
@@ -258,31 +309,43 @@ def counted(docs: DataFrame, text: str, lang: str, least: int, most_words: int)
     texts = docs.select(F.col(f"`{text}`").alias("text"), F.coalesce(F.col(f"`{lang}`"), F.lit("und")).alias("lang")).withColumn("h", F.xxhash64("lang")).where("text is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     range_bits = min(24, max(6, (size // RANGE_BYTES).bit_length()))
-    bits = docs.sparkSession.sparkContext.broadcast(frequent_filter(texts, least, range_bits))
+    context = docs.sparkSession.sparkContext
+    bits = context.broadcast(frequent_filter(texts, least, range_bits))
+    if most_words > 2:
+        bits = context.broadcast(frequent_filter(texts, least, range_bits, bits))
     cut = np.uint64(32 - range_bits)
     lower = np.arange(256, dtype=np.uint8)
     lower[ord("A") : ord("Z") + 1] += 32
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = PieceWords()
+        words, vocabulary, tries, totals = PieceWords(), Vocabulary(), [], Counter()
         for shard in shards(batches, words):
-            one, two = shard.keys()
-            fit = passing(bits.value, one >> cut)
-            pairs = shard.together & fit[1:] & fit[:-1]
-            pairs[pairs] = passing(bits.value, two[pairs] >> cut)
-            path, n = trie(shard, fit, pairs, most_words)
-            none = pa.nulls(len(n), pa.string())
-            yield batch([*path, n], none, none)
-            at = np.flatnonzero(fit)
-            ids, first, n = np.unique(shard.ids[at].view(np.int64), return_index=True, return_counts=True)
-            data, at = lower[shard.data], at[first]
-            names = pa.array([data[a:b].tobytes() for a, b in zip(shard.start[at], shard.end[at], strict=True)], pa.binary()).cast(pa.string())
-            absent = np.full(len(ids), NONE)
-            yield batch([ids, absent, absent, absent, n], pa.array([shard.langs[t] for t in shard.text[at]], pa.string()), names)
+            fit, pairs = shard.frequent_pairs(bits.value, cut)
+            at = np.flatnonzero(pairs[:-1] & pairs[1:]) if most_words > 2 else np.empty(0, np.int64)
+            triples = np.zeros(len(pairs), bool)
+            triples[at] = passing(bits.value, shard.triples(at) >> cut)
+            tries.append(trie(shard, pairs, triples, most_words))
+            if sum(len(n) for _, n in tries) > MERGED_NODES:
+                tries = [merged(tries)]
+                if len(tries[0][1]) > MERGED_NODES // 2:
+                    yield batch([*tries[0][0], tries[0][1]], *[pa.nulls(len(tries[0][1]), pa.string())] * 2)
+                    tries = []
+            vocabulary.add(shard, fit, lower)
+            if len(vocabulary.ids) > MERGED_NODES:
+                yield of_words(vocabulary)
+                vocabulary = Vocabulary()
             langs, code = np.unique(np.array(shard.langs, object), return_inverse=True)
-            totals = np.bincount(code[shard.text], minlength=len(langs))
-            absent = np.full(len(langs), NONE)
-            yield batch([absent] * 4 + [totals], pa.array(langs.tolist(), pa.string()), pa.nulls(len(langs), pa.string()))
+            totals.update(dict(zip(langs.tolist(), np.bincount(code[shard.text], minlength=len(langs)).tolist(), strict=True)))
+        if tries:
+            path, n = merged(tries)
+            yield batch([*path, n], *[pa.nulls(len(n), pa.string())] * 2)
+        yield of_words(vocabulary)
+        absent = np.full(len(totals), NONE)
+        yield batch([absent] * 4 + [np.array(list(totals.values()), np.int64)], pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()))
+
+    def of_words(v: Vocabulary) -> pa.RecordBatch:
+        absent = np.full(len(v.ids), NONE)
+        return batch([v.ids, absent, absent, absent, v.n], v.lang, v.word)
 
     def batch(numbers: list[np.ndarray], lang: pa.Array, word: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[pa.array(x, mask=x == NONE) for x in numbers[:4]], pa.array(numbers[4].astype(np.int64)), lang, word], [*W, "n", "lang", "word"])
@@ -359,7 +422,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", mos
     return out
 
 
-def top_phrases(found: DataFrame, most: int = 2000, salts: int = 32) -> DataFrame:
+def top_phrases(found: DataFrame, most: int = 2000, salts: int = 8) -> DataFrame:
     """The first `most` of each language by score, count (both falling) and phrase, with rank (long, from 1).
 
     Each of `salts` parts of a language is cut to its own first rows before they meet, so a window sorts at most salts * most rows.

@@ -213,6 +213,7 @@ SPEECH = [(i, speech(i), [None, "en", "und", "fr"][i % 4], "x") for i in range(6
 def test_collocations(spark, monkeypatch, shard, bits, most_words):
     """Also with many small shards, and with a filter so small that it lets everything pass."""
     monkeypatch.setattr(mining, "SHARD_WORDS", shard)
+    monkeypatch.setattr(mining, "MERGED_NODES", shard)
     monkeypatch.setattr(mining, "FILTER_BITS", bits)
     docs = spark.createDataFrame(SPEECH, SCHEMA).withColumns({c: F.lit("user") for c in ("w1", "a", "n", "word", "h", "phrase")}).repartition(5)
     got = mining.top_phrases(mining.collocations(docs, least=5, most_words=most_words), most=40, salts=3)
