@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from .profile import at, by_column
+from .quantiles import group_medians, percentile_table, percentiles
 
 
 def drop_sparse(df: DataFrame, most: float = DEFAULTS.drop_null_share) -> DataFrame:
@@ -16,16 +16,16 @@ def drop_sparse(df: DataFrame, most: float = DEFAULTS.drop_null_share) -> DataFr
 
 
 def impute_median(df: DataFrame, c: str) -> DataFrame:
-    value = df.agg(F.median(c)).first()[0]
+    (value,) = percentiles(df, [c], [0.5])[c]
     return df if value is None else df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(float(value))))
 
 
 def impute_group_median(df: DataFrame, c: str, group: str) -> DataFrame:
     """Fills nulls with the median of their group; rows of a null group, or of a group of nulls, stay null.
 
-    Medians are aggregated first and joined, so a large group is no window in one task.
+    Medians come from running counts and are joined, so a large group is in no single task.
     """
-    m = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.median(c).alias("_m"))
+    m = group_medians(df, [group], c, "_m")
     return df.join(m, group, "left").withColumn(c, F.coalesce(F.col(c).cast("double"), "_m")).drop("_m").select(df.columns)
 
 
@@ -49,7 +49,7 @@ def dedupe(df: DataFrame, columns: list[str] | None = None, order: str | None =
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], k: float = DEFAULTS.iqr_multiplier) -> DataFrame:
-    q = by_column(df, columns, {"q25": at(0.25), "q75": at(0.75)})
+    q = percentile_table(df, columns, {"q25": 0.25, "q75": 0.75})
     return q.withColumns({"lower": F.col("q25") - k * (F.col("q75") - F.col("q25")), "upper": F.col("q75") + k * (F.col("q75") - F.col("q25"))})
 
 
@@ -94,17 +94,25 @@ def zscore_outliers(df: DataFrame, c: str, z: float = DEFAULTS.z) -> DataFrame:
 
 
 def modified_zscore_outliers(df: DataFrame, c: str, z: float = DEFAULTS.modified_z) -> DataFrame:
-    med = df.agg(F.median(c).alias("m"))
-    mad = _one(df, c, med).agg(F.median(F.abs(F.col("x") - F.col("m"))).alias("mad"), F.first("m").alias("m"))
-    return _one(df, c, mad).agg(F.count(F.when(F.abs(F.try_divide(0.6745 * (F.col("x") - F.col("m")), F.col("mad"))) > z, 1)).alias("outliers"), F.max("mad").alias("mad"))
+    (m,) = percentiles(df, [c], [0.5])[c]
+    gaps = df.select(F.abs(F.col(c).cast("double") - F.lit(m).cast("double")).alias("gap"), F.col(c).cast("double").alias("x")).where("x is not null")
+    (mad,) = percentiles(gaps, ["gap"], [0.5])["gap"]
+    score = F.try_divide(0.6745 * F.col("gap"), F.lit(mad).cast("double"))
+    return gaps.agg(F.count(F.when(score > z, 1)).alias("outliers")).withColumn("mad", F.lit(mad).cast("double"))
 
 
 def outlier_impact(df: DataFrame, c: str) -> DataFrame:
-    """Mean, median and deviation with and without values outside the bounds, and the value farthest from the median."""
-    b = iqr_bounds(df, [c]).select("lower", "upper")
-    x = _one(df, c, b)
-    inside = F.when((F.col("x") >= F.col("lower")) & (F.col("x") <= F.col("upper")), F.col("x"))
-    return x.agg(F.avg("x").alias("mean_all"), F.avg(inside).alias("mean_inside"), F.median("x").alias("median_all"), F.median(inside).alias("median_inside"), F.stddev_samp("x").alias("std_all"), F.stddev_samp(inside).alias("std_inside"), (F.count("*") - F.count(inside)).alias("outliers"))
+    """Mean, median and deviation with and without values outside the bounds, how many those are, and of them the value farthest from the
+    median (farthest; of two as far the larger; null if there is none)."""
+    low, mid, high = percentiles(df, [c], [0.25, 0.5, 0.75])[c]
+    x = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
+    bound = lambda v: F.lit(v).cast("double")
+    k = DEFAULTS.iqr_multiplier
+    inside = (F.col("x") >= bound(None if mid is None else low - k * (high - low))) & (F.col("x") <= bound(None if mid is None else high + k * (high - low)))
+    kept, far = F.when(inside, F.col("x")), F.when(~inside, F.struct(F.abs(F.col("x") - bound(mid)), "x"))
+    (mid_inside,) = percentiles(x.where(inside), ["x"], [0.5])["x"]
+    out = x.agg(F.avg("x").alias("mean_all"), F.avg(kept).alias("mean_inside"), F.stddev_samp("x").alias("std_all"), F.stddev_samp(kept).alias("std_inside"), (F.count("*") - F.count(kept)).alias("outliers"), F.max(far)["x"].alias("farthest"))
+    return out.withColumns({"median_all": bound(mid), "median_inside": bound(mid_inside)})
 
 
 def outlier_summary(df: DataFrame, columns: list[str]) -> DataFrame:

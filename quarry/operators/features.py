@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.scalars import safe_ratio
-from . import ranked
+from ..functions.scalars import parse_time, safe_ratio
+from . import ranked, series
+from .profile import numeric_columns
 
 
 def calendar(df: DataFrame, c: str) -> DataFrame:
@@ -20,6 +21,32 @@ def calendar(df: DataFrame, c: str) -> DataFrame:
     return df.withColumns({f"{c}_{k}": v.cast("long") if k in ("year", "month", "quarter", "day", "dayofweek", "dayofyear", "weekofyear") else v.cast("int").cast("long") for k, v in parts.items()})
 
 
+def parsed_dates(df: DataFrame, least: float = 0.5) -> tuple[DataFrame, list[str]]:
+    """Text columns named after dates, times, years or months of which more than that share of all rows are times, as timestamps; and all time columns.
+
+    One aggregate decides for all columns; what is no time becomes null.
+    """
+    kinds = dict(df.dtypes)
+    named = [c for c in df.columns if kinds[c] == "string" and any(w in c.lower() for w in ("date", "time", "year", "month"))]
+    n = df.agg(F.count("*"), *[F.count(parse_time(F.col(f"`{c}`"))) for c in named]).first()  # one row
+    chosen = [c for i, c in enumerate(named, 1) if n[i] > least * n[0]]
+    times = [c for c in df.columns if c in chosen or kinds[c] == "date" or kinds[c].startswith("timestamp")]
+    return df.withColumns({c: parse_time(F.col(f"`{c}`")) for c in chosen}), times
+
+
+def per_capita(df: DataFrame, denominators: list[str]) -> DataFrame:
+    """<number>_per_<denominator without underscores> for all numeric columns and denominators (see naming.columns_for), and <number>_per_1000 for
+    populations. A denominator of 0 gives null."""
+    out: dict[str, Column] = {}
+    numbers = [c for c in numeric_columns(df) if not c.endswith(("_per_capita", "_normalized"))]
+    for d in denominators:
+        for c in [c for c in numbers if c != d]:
+            out[f"{c}_per_{d.replace('_', '')}"] = safe_ratio(F.col(f"`{c}`"), F.col(f"`{d}`"))
+            if "population" in d.lower():
+                out[f"{c}_per_1000"] = safe_ratio(F.col(f"`{c}`"), F.col(f"`{d}`")) * 1000
+    return df.withColumns(out)
+
+
 def per_unit(df: DataFrame, metrics: list[str], unit: str, times: int = 1) -> DataFrame:
     return df.withColumns({f"{m}_per_{unit}": safe_ratio(F.col(m), F.col(unit)) * times for m in metrics})
 
@@ -37,19 +64,26 @@ def interactions(df: DataFrame, columns: list[str], most: int = DEFAULTS.ratio_p
 
 
 def trends(df: DataFrame, metrics: list[str], time: str, key: str, partition: list[str] | None = None, windows: tuple[int, ...] = DEFAULTS.windows) -> DataFrame:
-    """Rolling means, lag, difference and percent change in time order (ties by key). Without a partition the order is global,
-    which one task holds: give the partition wherever there is one. Percent change fills gaps forward first; x / 0 is infinite."""
-    order = Window.partitionBy(*(partition or [])).orderBy(F.col(time).asc_nulls_last(), key)
+    """Rolling means, lag, difference and percent change in time order (nulls last, ties by key), within each partition or over the whole table.
+
+    The order of a whole table is cut into buckets with halos (see series), so no task holds it. Percent change fills gaps forward first; x / 0 is infinite.
+    """
+    if partition:
+        order = Window.partitionBy(*partition).orderBy(F.col(time).asc_nulls_last(), key)
+        whole, carry = None, lambda m: F.lit(None).cast("double")
+    else:
+        whole = series.Ordered(df, time, key, max([1, *[k - 1 for k in windows]]), metrics)
+        order, carry = whole.window, whole.carry
     out: dict[str, Column] = {}
     for m in metrics:
         c, back = F.col(m).cast("double"), F.lag(F.col(m).cast("double")).over(order)
         out |= {f"{m}_rolling_{k}": F.avg(c).over(order.rowsBetween(-(k - 1), 0)) for k in windows}
         out |= {f"{m}_lag1": back, f"{m}_diff": c - back}
-        filled = F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        before = F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        filled = F.coalesce(F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), carry(m))
+        before = F.coalesce(F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), carry(m))
         change = F.when(before != 0, (filled / F.nullif(before, F.lit(0.0)) - 1) * 100).when((before == 0) & (filled > 0), F.lit(float("inf"))).when((before == 0) & (filled < 0), F.lit(float("-inf")))
         out[f"{m}_pct_change"] = change
-    return df.withColumns(out)
+    return whole.finished(out) if whole else df.withColumns(out)
 
 
 def group_stats(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sample_kurtosis, sample_skewness
+from .quantiles import percentile_table
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -26,17 +27,13 @@ def by_column(df: DataFrame, columns: list[str], stats: dict[str, callable]) ->
     return wide.select(F.inline(rows))
 
 
-def at(p: float):
-    return lambda c: F.percentile(c.cast("double"), F.lit(p))
-
-
 def numeric_kpis(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """count, mean, median, std, min, max, sum, quartiles, iqr, cv, skew, kurtosis, range and outer percentiles by column."""
     d = lambda f: lambda c: f(c.cast("double"))
     places = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p5": 0.05, "p10": 0.1, "p90": 0.9, "p95": 0.95, "p99": 0.99}
     stats = {"count": lambda c: F.count(c), "mean": d(F.avg), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max), "sum": d(F.sum), "skewness": d(sample_skewness), "kurtosis": d(sample_kurtosis)}
-    stats["_at"] = lambda c: F.percentile(c.cast("double"), F.array(*map(F.lit, places.values())))  # one buffer a column
-    out = by_column(df, columns or metric_columns(df), stats).withColumns({k: F.col("_at")[i] for i, k in enumerate(places)}).drop("_at")
+    columns = columns or metric_columns(df)
+    out = by_column(df, columns, stats).join(F.broadcast(percentile_table(df, columns, places)), "column")  # one row a column
     return out.withColumns({"iqr": F.col("q75") - F.col("q25"), "cv": F.when(F.col("mean") != 0, F.col("std") / F.col("mean")), "range": F.col("max") - F.col("min")})
 
 
@@ -104,7 +101,7 @@ def histogram(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
 
 def quartile_classes(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many values are Low (at most the first quartile), Medium, High (above the third), over all columns."""
-    q = by_column(df, columns, {"q1": at(0.25), "q3": at(0.75)})
+    q = percentile_table(df, columns, {"q1": 0.25, "q3": 0.75})
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("p")).select("p.*").where("x is not null")
     label = F.when(F.col("x") <= F.col("q1"), "Low").when(F.col("x") > F.col("q3"), "High").otherwise("Medium")
     return long.join(F.broadcast(q), "column").groupBy(label.alias("class")).agg(F.count("*").alias("n"))  # one row a column

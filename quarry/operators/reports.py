@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from . import stats
-from .profile import by_column, categorical_kpis, duplicate_rate, missingness, numeric_columns
+from .profile import by_column, categorical_kpis, duplicate_rate, missingness, numeric_columns, value_counts
+from .quantiles import percentiles
 
 # Priorities in their order, weights of effort, endings and parts of the names of derived columns.
 PRIORITIES = ["critical", "high", "medium", "low"]
@@ -133,15 +134,18 @@ def feature_advice(df: DataFrame, correlated: float = 0.9, std: float = 1000.0,
 
 
 def fill_derived(df: DataFrame) -> DataFrame:
-    """Nulls of derived columns filled: numbers with the median, others with the mode (ties: the smallest). One aggregate for all of them."""
+    """Nulls of derived columns filled: numbers with the median, others with the mode (ties: the smallest). """
     kinds, numeric = dict(df.dtypes), set(numeric_columns(df))
     columns = [c for c in df.columns if c.endswith(tuple(DERIVED_ENDS)) or any(p in c for p in DERIVED_PARTS)]
     if not columns:
         return df
-    middle = lambda c: F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)) if c in numeric else F.mode(F.col(f"`{c}`"), True)
-    fills = df.agg(*[middle(c).alias(f"_{i}") for i, c in enumerate(columns)]).first()  # one row
+    numbers, others = [c for c in columns if c in numeric], [c for c in columns if c not in numeric]
+    fills = {c: v[0] for c, v in percentiles(df, numbers, [0.5]).items()} if numbers else {}
+    if others:
+        top = value_counts(df, others).groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
+        fills |= {r["column"]: r["value"] for r in top.collect()}  # one row a column
     value = lambda c, v: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(v)) if c in numeric else F.coalesce(F.col(f"`{c}`"), F.lit(v).cast(kinds[c]))
-    return df.withColumns({c: value(c, fills[i]) for i, c in enumerate(columns) if fills[i] is not None})
+    return df.withColumns({c: value(c, fills[c]) for c in columns if fills.get(c) is not None})
 
 
 def seasonality(df: DataFrame, time: str, value: str, least: int = 24, lags: int = 12) -> DataFrame:
