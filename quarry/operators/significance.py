@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +10,6 @@ from ..config import DEFAULTS
 from ..functions import pvalues
 from . import stats
 
-cloudpickle.register_pickle_by_value(pvalues)  # executors need not have the package
-
-
 def tail(f, *columns: Column) -> Column:
     """f(values of a row) as a column; null where a value is null."""
 
@@ -96,3 +92,15 @@ def dagostino(df: DataFrame, c: str, least: int = 20) -> DataFrame:
     z2 = (1 - 2 / (9 * a) - cube) / F.sqrt(2 / (9 * a))
     k2 = F.when((n >= least) & ~F.isnan("g1") & g1.isNotNull(), z1 * z1 + z2 * z2)
     return s.select("n", k2.alias("k2"), F.exp(-k2 / 2).alias("p_value"))
+
+
+def ks_normal(df: DataFrame, c: str, alpha: float = DEFAULTS.alpha) -> DataFrame:
+    """(d, n, p_value, normal): the Kolmogorov-Smirnov test against the normal distribution fitted to the values."""
+    out = stats.ks_normal(df, c)
+    return out.withColumn("p_value", tail(pvalues.kolmogorov_tail, F.col("d"), F.col("n"))).withColumn("normal", F.col("p_value") > alpha)
+
+
+def ks_exponential(df: DataFrame, c: str, alpha: float = DEFAULTS.alpha) -> DataFrame:
+    """(d, n, p_value, exponential): the same against the exponential distribution of the values' mean; null where a value is negative."""
+    out = stats.ks_exponential(df, c)
+    return out.withColumn("p_value", tail(pvalues.kolmogorov_tail, F.col("d"), F.col("n"))).withColumn("exponential", F.col("p_value") > alpha)

@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
 from . import ranked
-from .profile import at
+from .quantiles import group_medians, percentiles
+
+
+cloudpickle.register_pickle_by_value(pvalues)  # executors need not have the package
 
 
 def average_ranks(df: DataFrame, c: str) -> DataFrame:
@@ -39,10 +44,6 @@ def strong_pairs(pairs: DataFrame, least: float = 0.5, most: int = 10) -> DataFr
     return pairs.where(F.abs("r") > least).withColumn("strength", strength).orderBy(F.desc(F.abs("r")), "a", "b").limit(most)
 
 
-def correlation_p(r: float, n: int) -> float:
-    return 0.0 if abs(r) >= 1 else pvalues.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
-
-
 def linear_trend(df: DataFrame, y: str, x: str, group: str | None = None) -> DataFrame:
     """slope, intercept, r2, n, direction and strength of y over x, per group."""
     g = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*([group] if group else []))
@@ -159,25 +160,29 @@ def jarque_bera(df: DataFrame, c: str) -> DataFrame:
 
 
 def ks_exponential(df: DataFrame, c: str) -> DataFrame:
-    """Distance between the values' distribution and the exponential one of their mean."""
-    m = df.agg(F.avg(c).alias("m"), F.count(c).cast("double").alias("t"))
+    """(d, n): distance between the values' distribution and the exponential one of their mean; no distance where a value is negative."""
+    m = df.agg(F.avg(c).alias("m"), F.count(c).cast("double").alias("t"), F.min(c).alias("least"))
     v = average_ranks(df, c).select("value", (F.col("rank") - (F.col("n") + 1) / 2).alias("below"), "n").crossJoin(F.broadcast(m))
-    cdf = 1 - F.exp(-F.try_divide(F.col("value"), F.col("m")))
-    return v.agg(F.max(F.greatest((F.col("below") + F.col("n")) / F.col("t") - cdf, cdf - F.col("below") / F.col("t"))).alias("d"))
+    v = v.withColumn("f", F.when(F.col("least") >= 0, 1 - F.exp(-F.try_divide(F.col("value"), F.col("m")))))
+    return distance(v)
+
+
+def distance(v: DataFrame) -> DataFrame:
+    """(d, n): the largest gap between the share of values up to value (below and n of t) and the distribution function f."""
+    gap = F.greatest((F.col("below") + F.col("n")) / F.col("t") - F.col("f"), F.col("f") - F.col("below") / F.col("t"))
+    return v.agg(F.max(F.when(F.col("f").isNotNull(), gap)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
 
 
 def ks_normal(df: DataFrame, c: str) -> DataFrame:
-    """Distance to the normal distribution with the values' mean and deviation. The normal distribution function is a
-    numerical integral that SQL has no function for: its error function is summed as a series near 0 and as a fraction beyond."""
+    """(d, n): distance to the normal distribution with the values' mean and deviation. Values are counted first; SQL has no function for that distribution."""
     m = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.count(c).cast("double").alias("t"))
     v = average_ranks(df, c).select("value", (F.col("rank") - (F.col("n") + 1) / 2).alias("below"), "n").crossJoin(F.broadcast(m))
 
     @F.pandas_udf("double")
-    def phi(z):
-        return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)), na_action="ignore")
+    def phi(z: pd.Series) -> pd.Series:
+        return pd.Series(pvalues.normal_cdf(z.to_numpy(float, na_value=math.nan))).mask(z.isna().to_numpy())
 
-    v = v.withColumn("f", phi(F.try_divide(F.col("value") - F.col("m"), F.col("s"))))
-    return v.agg(F.max(F.greatest((F.col("below") + F.col("n")) / F.col("t") - F.col("f"), F.col("f") - F.col("below") / F.col("t"))).alias("d"))
+    return distance(v.withColumn("f", phi(F.try_divide(F.col("value") - F.col("m"), F.col("s")))))
 
 
 def gini(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -200,7 +205,8 @@ def top_performers(df: DataFrame, entity: str, metrics: list[str], most: int = 1
 
 def regional(df: DataFrame, region: str, value: str) -> DataFrame:
     g = df.where(F.col(region).isNotNull() & F.col(value).isNotNull()).groupBy(region)
-    return g.agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
+    out = g.agg(F.sum(value).alias("total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
+    return out.join(group_medians(df, [region], value, "median"), region)
 
 
 def top_and_bottom(df: DataFrame, key: str, value: str, most: int = 5) -> DataFrame:
@@ -212,6 +218,8 @@ def distribution(df: DataFrame, c: str) -> DataFrame:
     from ..functions.scalars import sample_kurtosis, sample_skewness
 
     x = F.col(c).cast("double")
-    s = df.agg(F.avg(x).alias("mean"), at(0.5)(x).alias("median"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"), (F.max(x) - F.min(x)).alias("range"), (at(0.75)(x) - at(0.25)(x)).alias("iqr"))
+    low, mid, high = (F.lit(v).cast("double") for v in percentiles(df, [c], [0.25, 0.5, 0.75])[c])
+    s = df.agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"), (F.max(x) - F.min(x)).alias("range"))
+    s = s.withColumns({"median": mid, "iqr": high - low})
     size = F.abs("skewness")
     return s.withColumn("skew_label", F.when(size < 0.5, "symmetric").when(size < 1, "moderate").otherwise("high")).withColumn("skew_direction", F.when(F.col("skewness") > 0, "right").otherwise("left"))

@@ -157,7 +157,7 @@ def modified_zscore_outliers(t):
     return rounded(clean.modified_zscore_outliers(t, "value"))
 
 
-@query("events", sql=rsql("mean_all mean_inside median_all median_inside std_all std_inside", f"SELECT avg(value) AS mean_all, avg(value) FILTER (WHERE i) AS mean_inside, median(value) AS median_all, median(value) FILTER (WHERE i) AS median_inside, stddev_samp(value) AS std_all, stddev_samp(value) FILTER (WHERE i) AS std_inside, count(*) FILTER (WHERE NOT i) AS outliers FROM (SELECT value, value >= a - 1.5 * (b - a) AND value <= b + 1.5 * (b - a) AS i FROM events, {_Q})", "outliers"))
+@query("events", sql=rsql("mean_all mean_inside median_all median_inside std_all std_inside farthest", f"SELECT arg_max(value, abs(value - (SELECT median(value) FROM events))) FILTER (WHERE NOT i) AS farthest, avg(value) AS mean_all, avg(value) FILTER (WHERE i) AS mean_inside, median(value) AS median_all, median(value) FILTER (WHERE i) AS median_inside, stddev_samp(value) AS std_all, stddev_samp(value) FILTER (WHERE i) AS std_inside, count(*) FILTER (WHERE NOT i) AS outliers FROM (SELECT value, value >= a - 1.5 * (b - a) AND value <= b + 1.5 * (b - a) AS i FROM events, {_Q})", "outliers"))
 def outlier_impact(t):
     return rounded(clean.outlier_impact(t, "value"))
 
@@ -321,12 +321,17 @@ def jarque_bera(t):
 
 @query("events", sql=rsql("d", "SELECT max(greatest(hi / t - f, f - lo / t)) AS d FROM (SELECT 1 - exp(-value / m) AS f, rank() OVER (ORDER BY value) - 1 AS lo, count(*) OVER (ORDER BY value) AS hi, t FROM events, (SELECT avg(value) AS m, count(*)::DOUBLE AS t FROM events))"))
 def ks_exponential(t):
-    return rounded(stats.ks_exponential(t, "value"))
+    return rounded(stats.ks_exponential(t, "value").select("d"))
 
 
-@query("events")
+# The normal distribution function as a series of positive terms; k-th odd factorials by lgamma.
+PHI = "(0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))))"
+KS_NORMAL = f"SELECT max(greatest(hi / t - f, f - lo / t)) AS d, max(t) AS n FROM (SELECT lo, hi, t, {PHI.format(z='z')} AS f FROM (SELECT (value - m) / s AS z, rank() OVER (ORDER BY value) - 1 AS lo, count(*) OVER (ORDER BY value) AS hi, t FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s, count(*)::DOUBLE AS t FROM events)))"
+
+
+@query("events", sql=rsql("d", KS_NORMAL))
 def ks_normal(t):
-    return rounded(stats.ks_normal(t, "value"))
+    return rounded(stats.ks_normal(t, "value").select("d"))
 
 
 @query("events", sql=rsql("mean median std variance skewness kurtosis range iqr", "SELECT *, CASE WHEN abs(skewness) < 0.5 THEN 'symmetric' WHEN abs(skewness) < 1 THEN 'moderate' ELSE 'high' END AS skew_label, CASE WHEN skewness > 0 THEN 'right' ELSE 'left' END AS skew_direction FROM (SELECT avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std, var_samp(value) AS variance, skewness(value) AS skewness, kurtosis(value) AS kurtosis, max(value) - min(value) AS range, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events)", "skew_label skew_direction", 4))
