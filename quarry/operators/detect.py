@@ -15,6 +15,7 @@ TYPES = ["numeric", "integer", "float", "datetime", "boolean", "categorical", "g
 BOOLEAN_SETS = [["true", "false"], ["1", "0"], ["yes", "no"], ["y", "n"], ["t", "f"], ["1.0", "0.0"]]
 PLACES = ["district", "state", "city", "village", "mandal", "tehsil", "block", "ward", "constituency", "pincode", "zip"]
 ID_PATTERNS = [r"^\d+$", r"^[A-Z]+\d+$", r"^\d+[A-Z]+\d*$", r"^[A-Z0-9]+$"]
+PLACE_SHARE = 0.05  # of the values hold a word of places, if it counts: one of twenty
 CURRENCY_MARKS = ["₹", r"\$", r"rs\.?", "inr", "crore", "lakh"]
 
 
@@ -35,7 +36,7 @@ def type_scores(df: DataFrame, columns: list[str]) -> DataFrame:
         low = F.lower(F.trim(s))
         said = F.when(~low.isin("nan", "none", ""), low)
         every = lambda p: F.coalesce(F.min(said.isin(p).cast("double")), F.lit(0.0))
-        places = sum(F.max(low.contains(p).cast("int")) for p in PLACES)
+        places = sum((F.coalesce(share(low.contains(p)), F.lit(0.0)) >= PLACE_SHARE).cast("int") for p in PLACES)
         coordinates = (numeric > 0.8) & ((of_numbers(x.between(-90, 90)) > 0.8) | (of_numbers(x.between(-180, 180)) > 0.8))
         bare = F.regexp_replace(s, r"[₹$,\s]", "")
         values = {

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str]) -> DataFrame:
+    """All of new, and those of old whose key isn't there."""
     return old.join(new, key, "left_anti").unionByName(new)
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import parse_number, parse_time
 from .profile import by_column, metric_columns, missingness, numeric_columns, value_counts
+from .quantiles import group_medians, percentile_table
 
 
 def describe(df: DataFrame, columns: list[str], places: int = 2) -> DataFrame:
-    """(column, count, mean, std, min, q25, median, q75, max), rounded; quartiles of a column are one exact percentile buffer."""
+    """(column, count, mean, std, min, q25, median, q75, max), rounded."""
     d = lambda f: lambda c: F.round(f(c.cast("double")), places)
-    out = by_column(df, columns, {"count": F.count, "mean": d(F.avg), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max), "q": lambda c: F.percentile(c.cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75))))})
-    q = lambda i: F.round(F.col("q")[i], places)
-    return out.select("column", "count", "mean", "std", "min", q(0).alias("q25"), q(1).alias("median"), q(2).alias("q75"), "max")
+    out = by_column(df, columns, {"count": F.count, "mean": d(F.avg), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max)})
+    out = out.join(F.broadcast(percentile_table(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})), "column")  # one row a column
+    return out.select("column", "count", "mean", "std", "min", *[F.round(q, places).alias(q) for q in ("q25", "median", "q75")], "max")
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
@@ -41,8 +43,11 @@ def date_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
 def region_completeness(df: DataFrame, region: str, metrics: list[str]) -> DataFrame:
     """Per region: records, completeness in percent over the metrics, and total, mean and median of each."""
     filled = sum((F.count(m) for m in metrics), F.lit(0))
-    parts = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("total", F.sum), ("mean", F.avg), ("median", F.median))]
-    return df.where(F.col(region).isNotNull()).groupBy(region).agg(F.count("*").alias("records"), (100 * filled / (F.count("*") * len(metrics))).alias("completeness"), *parts)
+    parts = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("total", F.sum), ("mean", F.avg))]
+    out = df.where(F.col(region).isNotNull()).groupBy(region).agg(F.count("*").alias("records"), (100 * filled / (F.count("*") * len(metrics))).alias("completeness"), *parts)
+    for m in metrics:
+        out = out.join(group_medians(df, [region], m, f"{m}_median"), region, "left")
+    return out
 
 
 def analysis_quality(df: DataFrame) -> DataFrame:
@@ -90,16 +95,50 @@ def text_preview(df: DataFrame, order: list[str], most: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(most).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in df.columns])
 
 
-def strings_to_numbers(df: DataFrame, least: float = 0.8) -> DataFrame:
-    """String columns of which at least that share of values are numbers, as doubles; what is no number becomes null."""
+# Words of column names whose values become numbers if any of them is one.
+NUMBER_NAMES = ["week", "day", "month", "year"]
+# Words that a cast to boolean takes for true and false.
+TRUTH = {"true": True, "false": False, "1": True, "0": False, "yes": True, "no": False, "y": True, "n": False, "t": True, "f": False, "1.0": True, "0.0": False}
+
+
+def strings_to_numbers(df: DataFrame, least: float = 0.7) -> DataFrame:
+    """String columns of which more than that share of all rows are numbers, as doubles; what is no number becomes null.
+
+    Of a column whose name speaks of weeks, days, months or years one number is enough.
+    """
     texts = [c for c, k in df.dtypes if k == "string"]
     if not texts:
         return df
-    shares = df.agg(*[F.try_divide(F.count(F.expr(f"try_cast(`{c}` as double)")).cast("double"), F.count(f"`{c}`").cast("double")).alias(c) for c in texts]).first()  # one row
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in texts if (shares[c] or 0) >= least})
+    n = df.agg(F.count("*"), *[F.count(parse_number(F.col(f"`{c}`"))) for c in texts]).first()  # one row
+    named = lambda c: any(w in c.lower() for w in NUMBER_NAMES)
+    chosen = [c for i, c in enumerate(texts, 1) if n[i] > least * n[0] or n[i] and named(c)]
+    return df.withColumns({c: parse_number(F.col(f"`{c}`")) for c in chosen})
+
+
+def cast_to(c: str, kind: str) -> Column:
+    """A column as numeric, float (double), integer (bigint; a number with a fraction is none), datetime, boolean (by TRUTH) or categorical; of any other kind, as text."""
+    x, text = F.col(f"`{c}`"), F.col(f"`{c}`").cast("string")
+    if kind in ("numeric", "float"):
+        return parse_number(text)
+    if kind == "integer":
+        number = parse_number(text)
+        return F.coalesce(F.when(F.trim(text).rlike(r"^[+-]?\d+$"), F.trim(text).try_cast("bigint")), F.when(number == F.floor(number), number.try_cast("bigint")))
+    if kind == "datetime":
+        return parse_time(text)
+    if kind == "boolean":
+        low = F.lower(F.trim(text))
+        return F.when(low.isin([w for w, v in TRUTH.items() if v]), True).when(low.isin([w for w, v in TRUTH.items() if not v]), False)
+    return x if kind == "categorical" else text
 
 
 def safe_cast(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Columns cast to integer, float, datetime, boolean or string; a value that does not fit becomes null."""
-    to = {"integer": "bigint", "float": "double", "datetime": "timestamp", "boolean": "boolean", "string": "string"}
-    return df.withColumns({c: F.expr(f"try_cast(`{c}` as {to[k]})") for c, k in kinds.items() if c in df.columns})
+    """Columns cast by cast_to(); a value that does not fit becomes null. cast_report() tells what was lost, and which columns are absent."""
+    return df.withColumns({c: cast_to(c, k) for c, k in kinds.items() if c in df.columns})
+
+
+def cast_report(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(column, kind, status, lost): a row for each cast that was asked for; status is cast or missing, lost the values that became null. One aggregate."""
+    there = [c for c in kinds if c in df.columns]
+    lost = df.agg(F.lit(0), *[F.count(F.when(F.col(f"`{c}`").isNotNull() & cast_to(c, kinds[c]).isNull(), 1)) for c in there]).first()  # one row
+    rows = [(c, k, "cast" if c in there else "missing", lost[1 + there.index(c)] if c in there else None) for c, k in kinds.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, status string, lost long")
