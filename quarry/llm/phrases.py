@@ -3,9 +3,9 @@
 A first pass serialises of every shard the hashes of its words and word pairs, sorted, with counts, in blocks of hash ranges; a range's blocks
 are merged and the hashes that reach the least count go into a bit filter of fixed size. A second pass does the same for triples whose pairs pass.
 The third pass builds a count trie of each shard, of words and phrases all of whose words, pairs and triples pass the filter (others can't reach the
-least count); a task merges its shards' tries and stores them in trie order. Spark sorts all of them into prefix ranges, where equal nodes meet and a walk
-adds them up; the nodes on the way down are the left parts of a phrase. Right parts come by suffix links, from a phrase to the one without its first
-word, a depth at a time.
+least count); a task merges its shards' tries and stores them serialised in trie order. A sample of their nodes gives prefix ranges of about equal size, at which
+all tries are cut; a range's pieces are merged, and a walk down the merged trie gives the left parts of each phrase. Right parts come by suffix links, from
+a phrase to the one without its first word, a depth at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +29,11 @@ FILTER_BITS = 1 << 26
 RANGE_BYTES = 1 << 24
 #: Marks of a text at which pieces end; no phrase goes on over them.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-#: Nodes that a task holds while it merges the tries of its shards.
-MERGED_NODES = 1_500_000
+#: Nodes that a task holds while it merges the tries of its shards; of a serialised piece; and of a prefix range over all tries, about.
+MERGED_NODES, PIECE_NODES, RANGE_NODES = 1_500_000, 200_000, 500_000
+#: Nodes that are sampled to find the ranges, at most; there are at most a twentieth as many ranges.
+MOST_SAMPLED = 1_000_000
+PIECE = "nodes int, w1 binary, w2 binary, w3 binary, w4 binary, n binary"
 C1, C2, C3 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 W = ["w1", "w2", "w3", "w4"]
 NONE = np.iinfo(np.int64).min
@@ -254,52 +256,89 @@ class Vocabulary:
         self.n = counts
 
 
+def serialised(path: np.ndarray, n: np.ndarray) -> list:
+    """The columns of PIECE for a trie or a piece of one."""
+    return [len(n), *[w.tobytes() for w in path], n.astype(np.int64).tobytes()]
+
+
+def parsed(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([np.frombuffer(row[w], np.int64) for w in W]), np.frombuffer(row["n"], np.int64)
+
+
+def places_of(edges: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """How many of the sorted nodes stand before each of the sorted edges."""
+    both = np.concatenate([edges, path], axis=1)
+    node = np.r_[np.zeros(edges.shape[1], np.int64), np.ones(path.shape[1], np.int64)]
+    order = np.lexsort((node, *both[::-1]))
+    return np.cumsum(node[order])[node[order] == 0]
+
+
+def range_edges(tries: DataFrame) -> np.ndarray:
+    """Paths (four rows) at which all prefix ranges but the first begin, from a sample of all nodes."""
+    nodes = tries.agg(F.sum("nodes")).first()[0] or 0
+    ranges = min(MOST_SAMPLED // 20, max(nodes // RANGE_NODES, min(nodes, int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    step = max(1, nodes // max(1, 20 * ranges))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(w) for w in parsed(row)[0][:, step // 2 :: step]], W)
+
+    found = tries.mapInArrow(sample, ", ".join(f"{w} long" for w in W)).toArrow()  # about 20 rows a range
+    path = np.stack([np.asarray(found[w]) for w in W])
+    path = path[:, np.lexsort(path[::-1])]
+    path = path[:, np.unique(np.arange(1, ranges) * path.shape[1] // max(1, ranges))] if path.shape[1] and ranges > 1 else path[:, :0]
+    new = np.r_[True, (path[:, 1:] != path[:, :-1]).any(axis=0)] if path.shape[1] else np.empty(0, bool)
+    return path[:, new]
+
+
+def cut_at(edges):
+    """Cuts serialised tries at the edges of ranges: (range, PIECE)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                path, n = parsed(row)
+                at = np.r_[0, places_of(edges.value, path), len(n)]
+                rows += [(r, *serialised(path[:, a:b], n[a:b])) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if a < b]
+            if rows:
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "nodes", *W, "n"])
+
+    return cut
+
+
 def walked(least: int):
-    """Adds up equal nodes of a sorted range of tries: (part, head, w1..w4, a, l1, l2, l3) of nodes with least or more, l1..l3 the
-    counts of the nodes above, null where those stand in an earlier range; and the first node of the range once more as head."""
+    """Merges the pieces of each range and walks down: (part, head, w1..w4, a, l1, l2, l3) of nodes with least or more, l1..l3 the counts of the nodes
+    above, null where those stand in an earlier range; and the first node of the range once more as head."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, started = TaskContext.get().partitionId(), False
-        above = (np.empty((4, 0), np.int64), np.empty(0, np.int64))  # the last node of each depth so far
-        held = None  # the last node, which the next batch may go on with
-
-        def close(path: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            nonlocal above, started
-            old = above[0].shape[1]
-            path, n = np.concatenate([above[0], path], axis=1), np.concatenate([above[1], n])
-            depth = (path != NONE).sum(axis=0)
-            i = np.arange(len(n))
-            left, last = [], []
+        def close(part: int, pieces: list) -> pa.RecordBatch:
+            path, n = merged(pieces)
+            depth, i = (path != NONE).sum(axis=0), np.arange(len(n))
+            left = []
             for k in (1, 2, 3):
                 at = np.maximum.accumulate(np.where(depth == k, i, -1))
                 same = (at >= 0) & (depth > k)
                 for j in range(k):
                     same &= path[j, at] == path[j]
                 left.append(np.where(same, n[at], -1))
-                last += [int(at[-1])] if len(at) and at[-1] >= 0 else []
-            last = sorted(last)
-            keep = np.flatnonzero((i >= old) & (n >= least))
-            head = np.zeros(len(keep), bool)
-            if not started and len(n):
-                keep, head, started = np.r_[old, keep], np.r_[True, head], True
-            above = (path[:, last], n[last])
+            keep = np.r_[0, np.flatnonzero(n >= least)]
+            head = np.arange(len(keep)) == 0
             of = lambda x, none: pa.array(x[keep], mask=x[keep] == none)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(head), *[of(path[k], NONE) for k in range(4)], pa.array(n[keep]), *[of(x, -1) for x in left]], ["part", "head", *W, "a", "l1", "l2", "l3"])
 
+        part, pieces = None, []
         for batch in batches:
-            if not len(batch):
-                continue
-            path = np.stack([np.asarray(batch.column(k).fill_null(int(NONE))) for k in range(4)])
-            n = np.asarray(batch.column(4))
-            if held is not None:
-                path, n = np.concatenate([held[0], path], axis=1), np.r_[held[1], n]
-            new = np.flatnonzero(np.r_[True, (path[:, 1:] != path[:, :-1]).any(axis=0)])
-            path, n = path[:, new], np.add.reduceat(n, new)
-            held = path[:, -1:], n[-1:]
-            if len(n) > 1:
-                yield close(path[:, :-1], n[:-1])
-        if held is not None:
-            yield close(*held)
+            for row in batch.to_pylist():
+                if pieces and row["range"] != part:
+                    yield close(part, pieces)
+                    pieces = []
+                part = row["range"]
+                pieces.append(parsed(row))
+        if pieces:
+            yield close(part, pieces)
 
     return walk
 
@@ -325,39 +364,40 @@ def counted(docs: DataFrame, text: str, lang: str, least: int, most_words: int)
             triples = np.zeros(len(pairs), bool)
             triples[at] = passing(bits.value, shard.triples(at) >> cut)
             tries.append(trie(shard, pairs, triples, most_words))
-            if sum(len(n) for _, n in tries) > MERGED_NODES:
-                tries = [merged(tries)]
-                if len(tries[0][1]) > MERGED_NODES // 2:
-                    yield batch([*tries[0][0], tries[0][1]], *[pa.nulls(len(tries[0][1]), pa.string())] * 2)
-                    tries = []
             vocabulary.add(shard, fit, lower)
-            if len(vocabulary.ids) > MERGED_NODES:
-                yield of_words(vocabulary)
-                vocabulary = Vocabulary()
+            if sum(len(n) for _, n in tries) + len(vocabulary.ids) > MERGED_NODES:
+                tries = [merged(tries)]
+                if len(tries[0][1]) + len(vocabulary.ids) > MERGED_NODES // 2:
+                    yield from written(tries, vocabulary)
+                    vocabulary, tries = Vocabulary(), []
             langs, code = np.unique(np.array(shard.langs, object), return_inverse=True)
             totals.update(dict(zip(langs.tolist(), np.bincount(code[shard.text], minlength=len(langs)).tolist(), strict=True)))
-        if tries:
-            path, n = merged(tries)
-            yield batch([*path, n], *[pa.nulls(len(n), pa.string())] * 2)
-        yield of_words(vocabulary)
-        absent = np.full(len(totals), NONE)
-        yield batch([absent] * 4 + [np.array(list(totals.values()), np.int64)], pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()))
-
-    def of_words(v: Vocabulary) -> pa.RecordBatch:
-        absent = np.full(len(v.ids), NONE)
-        return batch([v.ids, absent, absent, absent, v.n], v.lang, v.word)
+        yield from written(tries, vocabulary)
+        yield table(lang=pa.array(list(totals), pa.string()), total=pa.array(list(totals.values()), pa.int64()))
 
-    def batch(numbers: list[np.ndarray], lang: pa.Array, word: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*[pa.array(x, mask=x == NONE) for x in numbers[:4]], pa.array(numbers[4].astype(np.int64)), lang, word], [*W, "n", "lang", "word"])
-
-    tries = stored(texts.mapInArrow(build, "w1 long, w2 long, w3 long, w4 long, n long, lang string, word string"), "tries")
-    totals = stored(tries.where("w1 is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = tries.where("word is not null").groupBy("w1").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    def written(tries: list, v: Vocabulary) -> Iterator[pa.RecordBatch]:
+        """Names of words, and the trie with all words as its first level, in pieces."""
+        absent = np.full(len(v.ids), NONE)
+        path, n = merged([*tries, (np.stack([v.ids, absent, absent, absent]), v.n)])
+        for k in range(0, len(n), PIECE_NODES):
+            piece = serialised(path[:, k : k + PIECE_NODES], n[k : k + PIECE_NODES])
+            yield table(nodes=pa.array([piece[0]], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip([*W, "n"], piece[1:], strict=True)})
+        yield table(id=pa.array(v.ids), lang=v.lang, word=v.word)
+
+    def table(**columns: pa.Array) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in SCHEMA], schema=SCHEMA)
+
+    SCHEMA = pa.schema([("nodes", pa.int32()), *[(c, pa.binary()) for c in [*W, "n"]], ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("total", pa.int64())])
+    made = stored(texts.mapInArrow(build, f"{PIECE}, id long, lang string, word string, total long"), "tries")
+    totals = stored(made.where("total is not null").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
+    words = made.where("word is not null").groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
     words = stored(words, "words")
-    nodes = tries.where("w2 is not null").select(*W, "n").unionByName(words.select("w1", *[F.lit(None).cast("long").alias(w) for w in W[1:]], "n"))
-    nodes = nodes.repartitionByRange(*W).sortWithinPartitions(*W).mapInArrow(walked(least), "part int, head boolean, w1 long, w2 long, w3 long, w4 long, a long, l1 long, l2 long, l3 long")
-    nodes = stored(nodes, "nodes")
-    dropped(docs.sparkSession, tries)
+    tries = made.where("nodes is not null").select("nodes", *W, "n")
+    edges = context.broadcast(range_edges(tries))
+    cuts = tries.mapInArrow(cut_at(edges), f"range int, {PIECE}").repartition("range").sortWithinPartitions("range")
+    nodes = stored(cuts.mapInArrow(walked(least), "part int, head boolean, w1 long, w2 long, w3 long, w4 long, a long, l1 long, l2 long, l3 long"), "nodes")
+    dropped(docs.sparkSession, made)
     # Nodes above the first of a range stand in an earlier one: one row a range.
     heads = F.broadcast(nodes.where("head").select("part", *W[:3]))
     found = None
@@ -368,7 +408,7 @@ def counted(docs: DataFrame, text: str, lang: str, least: int, most_words: int)
     heads = stored(found.groupBy("part").agg(*[F.max(F.when(F.col("k") == k, F.col("a"))).alias(f"h{k}") for k in (1, 2, 3)]), "heads")
     above = [F.when(F.col(W[k]).isNotNull(), F.coalesce(f"l{k}", f"h{k}")).alias(f"l{k}") for k in (1, 2, 3)]
     nodes = nodes.where(~F.col("head")).join(F.broadcast(heads), "part", "left").select(*W, "a", *above)
-    return stored(nodes, "nodes"), words.select(F.col("w1").alias("id"), "lang", "word"), totals
+    return stored(nodes, "nodes"), words, totals
 
 
 def right_parts(nodes: DataFrame) -> DataFrame:

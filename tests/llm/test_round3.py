@@ -214,6 +214,8 @@ def test_collocations(spark, monkeypatch, shard, bits, most_words):
     """Also with many small shards, and with a filter so small that it lets everything pass."""
     monkeypatch.setattr(mining, "SHARD_WORDS", shard)
     monkeypatch.setattr(mining, "MERGED_NODES", shard)
+    monkeypatch.setattr(mining, "PIECE_NODES", shard // 10)
+    monkeypatch.setattr(mining, "RANGE_NODES", shard // 5)
     monkeypatch.setattr(mining, "FILTER_BITS", bits)
     docs = spark.createDataFrame(SPEECH, SCHEMA).withColumns({c: F.lit("user") for c in ("w1", "a", "n", "word", "h", "phrase")}).repartition(5)
     got = mining.top_phrases(mining.collocations(docs, least=5, most_words=most_words), most=40, salts=3)
@@ -229,16 +231,18 @@ def test_collocations_of_nothing(spark):
     assert mining.collocations(few).count() == 0
 
 
-def test_walk_over_range_edges(spark):
+def test_walk_over_range_edges(spark, monkeypatch):
     """Counts above the first node of a range come from an earlier range."""
     r = random.Random(5)
     rows = [(i, " ".join(r.choice("abcde") for _ in range(400)), "en", "x") for i in range(8)]
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "23")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = mining.top_phrases(mining.collocations(spark.createDataFrame(rows, SCHEMA), least=3)).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(mining, "RANGE_NODES", 10)
+    got = mining.top_phrases(mining.collocations(spark.createDataFrame(rows, SCHEMA).repartition(4), least=3)).collect()
     assert sorted(tuple(x[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for x in got) == mined(rows, 3)
+
+
+def test_places_of_edges():
+    rng = np.random.default_rng(3)
+    sort = lambda x: x[:, np.lexsort(x[::-1])]
+    path, edges = sort(rng.integers(0, 3, (4, 200))), sort(rng.integers(0, 3, (4, 9)))
+    want = [sum(tuple(p) < tuple(e) for p in path.T.tolist()) for e in edges.T.tolist()]
+    assert mining.places_of(edges, path).tolist() == want and mining.places_of(edges[:, :0], path).tolist() == []
