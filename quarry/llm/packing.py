@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,7 +52,29 @@ class OpenWindows:
         return capacity, self.at[capacity].pop()
 
 
-@lru_cache(maxsize=2)
+def of_worker(make, *key):
+    """make(*key), kept by the worker's process from task to task, for the last few keys.
+
+    It hangs on a module that is made here, since this one is shipped to workers by value and is new in each task.
+    """
+    import sys
+    import types
+
+    kept = vars(sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))).setdefault("values", {})
+    if key not in kept:
+        if len(kept) > 1:
+            kept.clear()
+        kept[key] = make(*key)
+    return kept[key]
+
+
+def forget() -> None:
+    """Lets go of what of_worker() keeps."""
+    import sys
+
+    vars(sys.modules.get("_kept_by_worker", object)).get("values", {}).clear()
+
+
 def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
     """texts -> ids of each as bytes (<u4), closed by separator, equal to the tokenizer file's own encoding.
 
@@ -123,7 +144,7 @@ def pieces_of(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode = encoder(tokenizer, separator, most_words)
+        encode = of_worker(encoder, tokenizer, separator, most_words)
         for batch in batches:
             for part in parts(batch):
                 rows = []
@@ -168,7 +189,7 @@ def packed(pieces: DataFrame, *, doc_id: str = "doc_id", window: int = 1024) ->
         schema["ids"].dataType = ArrayType(IntegerType())
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder.cache_clear()  # the worker may still hold the words of tokenising
+        forget()  # the worker may still hold the words of tokenising
         shard, windows, n = None, None, 0
         for batch in batches:
             ids, offsets = [], []

@@ -355,7 +355,7 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
     from quarry.llm import packing
 
     monkeypatch.setattr(packing, "MOST_WORDS", 40)
-    encode, whole = packing.encoder.__wrapped__(packing.tokenizer_path(), 0), Tokenizer.from_file(packing.tokenizer_path())
+    encode, whole = packing.encoder(packing.tokenizer_path(), 0), Tokenizer.from_file(packing.tokenizer_path())
     rng = np.random.default_rng(3)
     parts = np.array(["a", "b", " ", "  ", "\n", "\t", "é", " ", "'s", "1", "\0", "\x85", "<|endoftext|>", " x"])
     texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(2000)]
