@@ -73,3 +73,7 @@ def redact_pii(c: Column) -> Column:
     c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
     c = F.regexp_replace(c, r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[ID]")
     return F.regexp_replace(c, r"\+?\d[\d ()-]{8,14}\d", "[PHONE]")
+
+
+# Patterns of lower-cased column names whose values are money, shares or times.
+UNIT_NAMES = {"currency": r".*(?:rs|rupees|inr).*", "percent": r".*(?:percent|%|pct).*", "date": r".*(?:date|time).*"}

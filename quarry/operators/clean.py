@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from .profile import value_counts
 from .quantiles import group_medians, percentile_table, percentiles
 
 
@@ -35,6 +36,26 @@ def impute_mode(df: DataFrame, c: str) -> DataFrame:
     return df if top is None else df.withColumn(c, F.coalesce(F.col(c), F.lit(top[0])))
 
 
+def impute(df: DataFrame, medians: list[str] = (), modes: list[str] = (), placeholders: list[str] = (), groups: dict[str, str] | None = None, text: str = "MISSING") -> DataFrame:
+    """Fills nulls of many columns at once: with medians, with modes (ties: the smallest value), with a placeholder, or with the median of their group and
+    then of the column. A column without a value stays as it is. Two steps over the table for all medians and modes, and a join for each grouped column.
+    """
+    groups, kinds = groups or {}, dict(df.dtypes)
+    middle = {c: v[0] for c, v in percentiles(df, [*medians, *groups], [0.5]).items()} if medians or groups else {}
+    top = {}
+    if modes:
+        first = F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"]
+        top = {r["column"]: r["value"] for r in value_counts(df, list(modes)).groupBy("column").agg(first.alias("value")).collect()}  # one row a column
+    out = df
+    for c, group in groups.items():
+        name = f"_median_of_{c}"
+        out = out.join(group_medians(df, [group], c, name).withColumnRenamed(group, f"_group_of_{c}"), F.col(f"`{group}`") == F.col(f"`_group_of_{c}`"), "left")
+    new = {c: F.coalesce(F.col(f"`{c}`").cast("double"), *([F.col(f"`_median_of_{c}`")] if c in groups else []), F.lit(middle[c]).cast("double")) for c in [*medians, *groups]}
+    new |= {c: F.coalesce(F.col(f"`{c}`"), F.lit(top[c]).cast(kinds[c])) for c in modes if c in top}
+    new |= {c: F.coalesce(F.col(f"`{c}`"), F.lit(text)) for c in placeholders}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+
+
 def impute_placeholder(df: DataFrame, c: str, text: str = "MISSING") -> DataFrame:
     return df.withColumn(c, F.coalesce(F.col(c), F.lit(text)))
 
@@ -118,15 +139,15 @@ def outlier_impact(df: DataFrame, c: str) -> DataFrame:
 def outlier_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     b = bounds_of(df, columns)
     total = sum((F.count(F.when(outside(c, b[c]), 1)) for c in b), F.lit(0))
-    return df.agg(total.alias("outliers"), (total / (F.count("*") * len(columns))).alias("share"))
+    return df.agg(total.alias("outliers"), F.try_divide(total.cast("double"), (F.count("*") * len(columns)).cast("double")).alias("share"))
 
 
-def group_rank(df: DataFrame, group: str, c: str, name: str = "rank") -> DataFrame:
-    """Rank in the group, largest first, equals share their mean rank; null has none.
+def group_rank(df: DataFrame, group: str, c: str, name: str = "rank", of: DataFrame | None = None) -> DataFrame:
+    """Rank in the group, largest first, equals share their mean rank; null has none. of: a table with the same rows from which values are counted.
 
     Distinct values are counted first, so the window holds distinct values rather than rows.
     """
-    v = df.where(F.col(c).isNotNull() & F.col(group).isNotNull()).groupBy(group, c).agg(F.count("*").alias("_n"))
+    v = (df if of is None else of).where(F.col(c).isNotNull() & F.col(group).isNotNull()).groupBy(group, c).agg(F.count("*").alias("_n"))
     above = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     v = v.select(group, c, (above + (F.col("_n") + 1) / 2).alias(name))
     return df.join(v, [group, c], "left").select(*df.columns, name)

@@ -20,42 +20,48 @@ CURRENCY_MARKS = ["₹", r"\$", r"rs\.?", "inr", "crore", "lakh"]
 
 
 def type_scores(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, n, distinct_share, scores by type, type, confidence): all detectors of all columns in one aggregate over all rows.
+    """(column, n, distinct_share, scores by type, type, confidence): all detectors of all columns, over all rows.
 
-    The best score wins, ties by the order of TYPES, and below 0.6 a column is text. A column of nulls is unknown with
-    confidence 0. Times are the 12 formats and ISO 8601; a number is no time but for a year of four digits.
+    Values are counted by column first; each distinct one is looked at once, with its count as weight. The best score wins, ties by the order of TYPES,
+    and below 0.6 a column is text. A column of nulls is unknown with confidence 0. Times are the 12 formats and ISO 8601; a number is no time but for a
+    year of four digits. A word of places counts if PLACE_SHARE of the values hold it, so that types don't hang on the size of a table.
     """
-
-    def scores(c: str):
-        s = F.col(f"`{c}`").cast("string")
-        x, n = parse_number(s), F.count(s)
-        share = lambda cond: F.try_divide(F.count(F.when(cond, 1)).cast("double"), n.cast("double"))
-        of_numbers = lambda cond: F.try_divide(F.count(F.when(cond, 1)).cast("double"), F.count(x).cast("double"))
-        numeric = share(x.isNotNull())
-        distinct = F.try_divide(F.countDistinct(s).cast("double"), n.cast("double"))
-        low = F.lower(F.trim(s))
-        said = F.when(~low.isin("nan", "none", ""), low)
-        every = lambda p: F.coalesce(F.min(said.isin(p).cast("double")), F.lit(0.0))
-        places = sum((F.coalesce(share(low.contains(p)), F.lit(0.0)) >= PLACE_SHARE).cast("int") for p in PLACES)
-        coordinates = (numeric > 0.8) & ((of_numbers(x.between(-90, 90)) > 0.8) | (of_numbers(x.between(-180, 180)) > 0.8))
-        bare = F.regexp_replace(s, r"[₹$,\s]", "")
-        values = {
-            "numeric": numeric,
-            "integer": F.when(numeric >= 0.8, share(x == F.floor(x))),
-            "float": F.when(numeric >= 0.8, share(x != F.floor(x))),
-            "datetime": F.greatest(*[share(time_by(s, f).isNotNull()) for f in DATE_FORMATS], share(iso_time(s).isNotNull())),
-            "boolean": F.greatest(*[every(p) for p in BOOLEAN_SETS]),
-            "categorical": F.when((distinct < 0.1) & (F.countDistinct(s) > 1), 1 - distinct),
-            "geographic": F.when(coordinates, 0.9).otherwise(F.least(F.lit(0.8), 0.3 * places)),
-            "id": F.when(distinct >= 0.95, distinct * F.greatest(*[share(s.rlike(p)) for p in ID_PATTERNS])),
-            "currency": F.greatest(*[share(s.rlike(f"(?i){p}")) for p in CURRENCY_MARKS], share(parse_number(bare).isNotNull())),
-            "text": F.lit(0.3),
-        }
-        return F.struct(n.alias("n"), distinct.alias("distinct_share"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in values.items()])
-
-    names = ["n", "distinct_share", *TYPES]
-    wide = df.agg(*[scores(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"_{i}.{k}").alias(k) for k in names]) for i, c in enumerate(columns)])))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("s")) for c in columns]))
+    counts = df.select(pairs.alias("p")).select("p.*").where("s is not null").groupBy("column", "s").agg(F.count("*").alias("w"))
+    s, w = F.col("s"), F.col("w")
+    low = F.lower(F.trim(s))
+    parts = {"x": parse_number(s), "low": low, "said": F.when(~low.isin("nan", "none", ""), low), "bare": parse_number(F.regexp_replace(s, r"[₹$,\s]", ""))}
+    parts |= {f"time{i}": t.isNotNull() for i, t in enumerate([*[time_by(s, f) for f in DATE_FORMATS], iso_time(s)])}
+    parts |= {f"id{i}": s.rlike(p) for i, p in enumerate(ID_PATTERNS)} | {f"mark{i}": s.rlike(f"(?i){p}") for i, p in enumerate(CURRENCY_MARKS)}
+    x, n = F.col("x"), F.sum("w")
+    share = lambda cond: F.coalesce(F.try_divide(F.sum(F.when(cond, w)).cast("double"), n.cast("double")), F.lit(0.0))
+    of_numbers = lambda cond: F.coalesce(F.try_divide(F.sum(F.when(cond, w)).cast("double"), F.sum(F.when(x.isNotNull(), w)).cast("double")), F.lit(0.0))
+    sums = {
+        "n": n, "values": F.count("*"), "numeric": share(x.isNotNull()), "whole": share(x == F.floor(x)), "broken": share(x != F.floor(x)),
+        "latitude": of_numbers(x.between(-90, 90)), "longitude": of_numbers(x.between(-180, 180)), "amount": share(F.col("bare").isNotNull()),
+        "time": F.greatest(*[share(F.col(p)) for p in parts if p.startswith("time")]), "form": F.greatest(*[share(F.col(p)) for p in parts if p.startswith("id")]),
+        "mark": F.greatest(*[share(F.col(p)) for p in parts if p.startswith("mark")]),
+        "boolean": F.greatest(*[F.coalesce(F.min(F.col("said").isin(p).cast("double")), F.lit(0.0)) for p in BOOLEAN_SETS]),
+        "places": sum((share(F.col("low").contains(p)) >= PLACE_SHARE).cast("int") for p in PLACES),
+    }
+    found = counts.select("column", "s", "w", *[v.alias(k) for k, v in parts.items()]).groupBy("column").agg(*[v.alias(k) for k, v in sums.items()])
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").coalesce(1)
+    found = every.join(found, "column", "left")
+    distinct = F.try_divide(F.col("values").cast("double"), F.col("n").cast("double"))
+    numeric = F.col("numeric")
+    scores = {
+        "numeric": numeric,
+        "integer": F.when(numeric >= 0.8, F.col("whole")),
+        "float": F.when(numeric >= 0.8, F.col("broken")),
+        "datetime": F.col("time"),
+        "boolean": F.col("boolean"),
+        "categorical": F.when((distinct < 0.1) & (F.col("values") > 1), 1 - distinct),
+        "geographic": F.when((numeric > 0.8) & ((F.col("latitude") > 0.8) | (F.col("longitude") > 0.8)), 0.9).otherwise(F.least(F.lit(0.8), 0.3 * F.col("places"))),
+        "id": F.when(distinct >= 0.95, distinct * F.col("form")),
+        "currency": F.greatest("mark", "amount"),
+        "text": F.lit(0.3),
+    }
+    rows = found.select("column", F.coalesce("n", F.lit(0)).alias("n"), distinct.alias("distinct_share"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in scores.items()])
     best = F.greatest(*TYPES)
     kind = None
     for k in TYPES:

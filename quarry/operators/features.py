@@ -86,37 +86,40 @@ def trends(df: DataFrame, metrics: list[str], time: str, key: str, partition: li
     return whole.finished(out) if whole else df.withColumns(out)
 
 
-def group_stats(df: DataFrame, group: str, metrics: list[str]) -> DataFrame:
-    """Mean, sum, sample deviation and count of each group joined back to its rows; a null group has null statistics."""
+def group_stats(df: DataFrame, group: str, metrics: list[str], of: DataFrame | None = None) -> DataFrame:
+    """Mean, sum, sample deviation and count of each group joined back to its rows; a null group has null statistics.
+
+    of: a table with the same rows from which they are aggregated, where df is a long plan; so below.
+    """
     stats = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "count": F.count}
-    s = df.where(F.col(group).isNotNull()).groupBy(group).agg(*[f(m).alias(f"{m}_by_{group}_{k}") for m in metrics for k, f in stats.items()])
+    s = (df if of is None else of).where(F.col(group).isNotNull()).groupBy(group).agg(*[f(m).alias(f"{m}_by_{group}_{k}") for m in metrics for k, f in stats.items()])
     return df.join(s, group, "left")
 
 
-def binary_encode(df: DataFrame, c: str, order: str) -> DataFrame:
+def binary_encode(df: DataFrame, c: str, order: str, of: DataFrame | None = None) -> DataFrame:
     """Two values: the one seen first by order is 0, the other 1; null stays null."""
-    first = df.where(F.col(c).isNotNull()).agg(F.min_by(c, order)).first()[0]
+    first = (df if of is None else of).where(F.col(c).isNotNull()).agg(F.min_by(c, order)).first()[0]
     return df.withColumn(f"{c}_encoded", F.when(F.col(c).isNotNull(), (F.col(c) != F.lit(first)).cast("long")))
 
 
-def one_hot(df: DataFrame, c: str, most: int = DEFAULTS.one_hot_most) -> DataFrame:
+def one_hot(df: DataFrame, c: str, most: int = DEFAULTS.one_hot_most, of: DataFrame | None = None) -> DataFrame:
     """A 0/1 column for each value, and one for null. Refuses more than most values."""
-    values = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()]
+    values = [r[0] for r in (df if of is None else of).where(F.col(c).isNotNull()).select(c).distinct().limit(most + 1).collect()]
     if len(values) > most:
         raise ValueError(f"{c} has more than {most} values")
     return df.withColumns({f"{c}_{v}": F.col(c).eqNullSafe(F.lit(v)).cast("long") for v in sorted(values)} | {f"{c}_nan": F.col(c).isNull().cast("long")})
 
 
-def label_encode(df: DataFrame, c: str) -> DataFrame:
+def label_encode(df: DataFrame, c: str, of: DataFrame | None = None) -> DataFrame:
     """Codes of the sorted distinct values from 0; null stays null. Distinct values are ranked by buckets."""
-    codes = df.where(F.col(c).isNotNull()).select(c).distinct()
+    codes = (df if of is None else of).where(F.col(c).isNotNull()).select(c).distinct()
     codes = ranked.before(codes, [c], F.lit(1), "_code").select(c, F.col("_code").cast("long").alias(f"{c}_encoded"))
     return df.join(codes, c, "left").select(*df.columns, f"{c}_encoded")
 
 
-def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+def scaled(df: DataFrame, columns: list[str], of: DataFrame | None = None) -> DataFrame:
     """<c>_std (population deviation; 0 for a constant) and <c>_norm (0 to 1), from one aggregate."""
-    s = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
+    s = (df if of is None else of).agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
     out = {}
     for c in columns:
         if (m := s[c])["m"] is not None:
@@ -126,9 +129,9 @@ def scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
-def log_skewed(df: DataFrame, columns: list[str], skew: float = DEFAULTS.skew) -> DataFrame:
+def log_skewed(df: DataFrame, columns: list[str], skew: float = DEFAULTS.skew, of: DataFrame | None = None) -> DataFrame:
     """<c>_log = log1p of columns without negatives whose sample skewness exceeds skew in size."""
     from ..functions.scalars import sample_skewness
 
-    s = df.agg(*[F.struct(sample_skewness(F.col(c).cast("double")).alias("k"), F.min(c).alias("lo")).alias(c) for c in columns]).first()
+    s = (df if of is None else of).agg(*[F.struct(sample_skewness(F.col(c).cast("double")).alias("k"), F.min(c).alias("lo")).alias(c) for c in columns]).first()
     return df.withColumns({f"{c}_log": F.log1p(F.col(c).cast("double")) for c in columns if s[c]["k"] is not None and abs(s[c]["k"]) > skew and s[c]["lo"] >= 0})

@@ -127,7 +127,7 @@ def feature_importance(df: DataFrame, columns: list[str]) -> DataFrame:
 def feature_advice(df: DataFrame, correlated: float = 0.9, std: float = 1000.0, spread: float = 10000.0, most: int = 50) -> DataFrame:
     """One row: pairs of numeric columns that correlate above 0.9, columns to scale, text columns of more than 50 values."""
     numeric, texts = numeric_columns(df), [c for c, k in df.dtypes if k == "string"]
-    pairs = [F.abs(F.corr(a, b)) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
+    pairs = [F.abs(stats.correlation(a, b)) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
     scale = [(F.stddev_samp(c) > std) | ((F.max(c) - F.min(c)) > spread) for c in numeric]
     count = lambda conditions: sum((F.coalesce(x.cast("long"), F.lit(0)) for x in conditions), F.lit(0).cast("long"))
     return df.agg(count([p > correlated for p in pairs]).alias("correlated_pairs"), count(scale).alias("columns_to_scale"), count([F.countDistinct(c) > most for c in texts]).alias("wide_categories"))

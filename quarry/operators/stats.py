@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues
@@ -24,10 +24,17 @@ def average_ranks(df: DataFrame, c: str) -> DataFrame:
     return ranked.before(v, ["value"], F.col("n"), "_below").select("value", "n", (F.col("_below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over rows that have both; null where one is constant (corr() would raise)."""
+    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+    both = lambda v: F.when(x.isNotNull() & y.isNotNull(), v)
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(both(x)) * F.stddev_pop(both(y)), F.lit(0.0)))
+
+
 def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) over rows complete in all columns; constants give null. One aggregate for all pairs."""
     pairs = list(combinations(columns, 2))
-    wide = df.dropna(subset=columns).agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.dropna(subset=columns).agg(*[correlation(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(rows))
 
@@ -74,7 +81,7 @@ def autocorrelation(series: DataFrame, order: str, value: str, most: int = 12) -
     w = Window.orderBy(order)
     lags = range(1, most + 1)
     x = series.select(F.col(value).alias("x"), *[F.lag(value, k).over(w).alias(f"_{k}") for k in lags])
-    wide = x.agg(*[F.corr("x", f"_{k}").alias(f"_{k}") for k in lags])
+    wide = x.agg(*[correlation("x", f"_{k}").alias(f"_{k}") for k in lags])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_{k}").alias("r")) for k in lags])))
 
 

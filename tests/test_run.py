@@ -223,3 +223,50 @@ def test_run_memory_counts_up(spark, tmp_path):
     m.count_up("transform_rules", spark.createDataFrame([rule("r", 1, 5, "old"), rule("r", 1, 7, "new"), rule("q", 1, 7)], schema))
     got = {r.rule_id: (r.usage_count, r.created_at.day, r.last_used.day, r.action) for r in m.read("transform_rules").collect()}
     assert got == {"r": (3, 1, 7, "new"), "s": (2, 1, 1, "x"), "q": (1, 7, 7, "x")}
+
+
+# The table pipeline
+
+
+def messy(spark, n=400):
+    r = random.Random(2)
+    rows = [
+        (f" Dist {'ABC'[i % 3]} ", "yes" if i % 2 else "No", f"Rs. {100 + i % 50},000" if i % 30 else None, f"{i % 90}%", f"2021-{i % 12 + 1:02d}-{i % 28 + 1:02d}", str(i % 7) if i % 3 else "n/a", 1000 + i % 400, float(r.expovariate(1.0)) if i % 10 else None, float("nan") if i % 3 == 0 else 1.0, None, f"k{i % 15}" if i % 25 else None)
+        for i in range(n)
+    ]
+    return spark.createDataFrame(rows + rows[:5], "`Dist Name` string, active string, fee_rs string, pct_done string, entry_date string, week string, population long, cases double, gaps double, nothing string, `Ward Code` string")
+
+
+def test_pipeline_uses_the_whole_library(spark):
+    t = trace.Trace(spark, "run")
+    out = __import__("quarry.plans.pipeline", fromlist=["run"]).run(messy(spark), context=config.Context(domain="health"), trace=t)
+    std, cln, new = out["standardize"], out["clean"], out["transform"]
+    assert "district" in std.df.columns and std.df.first()["district"] in ("Dist A", "Dist B", "Dist C")
+    kinds = dict(std.df.dtypes)
+    assert kinds["fee_rs"] == "double" and kinds["pct_done"] == "double" and kinds["created_date"].startswith("timestamp")  # renamed by a pattern
+    assert {r["active"] for r in std.df.select("active").distinct().collect()} <= {"True", "False", True, False}
+    assert {r["action"] for r in std.report} >= {"rename", "unit", "truth words", "cast"}
+    assert "nothing" not in cln.df.columns and cln.df.where("fee_rs is null or cases is null").count() == 0 and cln.df.count() < 405
+    assert {r["action"] for r in cln.report} >= {"dropped", "flagged"} and any(r["action"] in ("median", "group median") for r in cln.report)
+    columns = new.df.columns
+    for c in ("created_date_year", "cases_per_population", "cases_per_1000", "population_rolling_3", "population_lag1", "population_by_district_mean", "population_by_district_rank", "district_Dist A"):
+        assert c in columns, c
+    assert new.df.count() == cln.df.count() and new.tables["transformation_check"].first()["new_columns"] > 40
+    assert out["validate"].report[-1] == {"route": "continue"} and out["validate"].tables["scores"].first()["level"] in ("HIGH", "MEDIUM", "LOW")
+    for name, table in out["analyze"].tables.items():
+        assert table.collect() is not None, name
+    assert set(out["analyze"].tables) >= {"numeric_kpis", "categorical_kpis", "correlations", "normality", "group_comparison", "seasonality", "inequality", "evidence"}
+    steps = {r.stage: (r.status, r.rows) for r in t.table().collect()}
+    assert steps["ingest"] == ("completed", 405) and steps["clean"] == ("completed", cln.df.count()) and list(steps) == ["ingest", "standardize", "clean", "transform", "validate", "analyze"]
+    assert [r.run_id for r in __import__("quarry.plans.pipeline", fromlist=["run"]).run_record(out, "run", "messy", "health", "2024-01-01").collect()] == ["run"]
+
+
+def test_pipeline_of_odd_tables(spark):
+    from quarry.plans import pipeline
+
+    for df in (spark.createDataFrame([], "a long, b string"), spark.createDataFrame([(1, "x")], "a long, b string"), spark.createDataFrame([(None, None)], "a double, b string"), spark.range(3).select(F.array("id").alias("x"))):
+        out = pipeline.run(df)
+        assert out["validate"].report[-1]["route"] == "fail"
+        assert all(t.collect() is not None for t in out["analyze"].tables.values())
+    with pytest.raises(Exception, match="broken"):
+        pipeline.run(spark.range(3).withColumn("x", F.when(F.col("id") > 5, 1).otherwise(F.raise_error(F.lit("broken")).cast("int"))), retries=1)
