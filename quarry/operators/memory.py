@@ -91,6 +91,17 @@ def suggest_by_pattern(mappings: DataFrame, names: list[str], original: str, cho
     return first.select("name", "b.choice", (0.8 * F.col("b.confidence")).alias("confidence"), "b.pattern")
 
 
+def suggest(mappings: DataFrame, names: list[str], original: str, choice: str, confidence: str, weight: str | None = None) -> DataFrame:
+    """(name, choice, confidence, rule): for each new column name the choice that columns of exactly that name (case aside) were given most often,
+    ties by mean confidence and choice; for names that no column has borne, suggest_by_pattern(). Names without either are left out."""
+    asked = mappings.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string").coalesce(1)
+    known = mappings.select(F.lower(F.col(original)).alias("_low"), F.col(choice).alias("_choice"), F.col(confidence).cast("double").alias("_confidence"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_weight"))
+    exact = asked.withColumn("_low", F.lower("name")).join(vote(known, "_low", "_choice", "_weight", "_confidence"), "_low")
+    exact = exact.select("name", F.col("_choice").alias("choice"), "confidence", F.lit("exact").alias("rule"))
+    pattern = suggest_by_pattern(mappings, list(dict.fromkeys(names)), original, choice, confidence).select("name", "choice", "confidence", F.lit("pattern").alias("rule"))
+    return exact.unionByName(pattern.join(exact.select("name"), "name", "left_anti"))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n) of several tables."""
     counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]

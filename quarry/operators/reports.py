@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Thresholds
 from . import stats
-from .profile import by_column, categorical_kpis, duplicate_rate, missingness, numeric_columns, value_counts
-from .quantiles import percentiles
+from .profile import by_column, categorical_kpis, duplicate_rate, metric_columns, missingness, numeric_columns, value_counts
+from .quantiles import percentile_table, percentiles
+from .summary import top_values
 
 # Priorities in their order, weights of effort, endings and parts of the names of derived columns.
 PRIORITIES = ["critical", "high", "medium", "low"]
@@ -227,3 +228,78 @@ def overall_confidence(errors: int, score: float = 100.0) -> str:
     if errors:
         return "LOW" if errors > 3 else "MEDIUM"
     return "HIGH" if score >= 85 else "MEDIUM" if score >= 70 else "LOW"
+
+
+def profile_flags(df: DataFrame, most_missing: float = 0.10, most_duplicates: float = 0.05, many: float = 0.8, least: int = 100, most_outliers: float = 0.05) -> DataFrame:
+    """(flag, subject, value): what is odd about a table. much_missing and many_duplicates (shares, of the whole table), high_cardinality of
+    text columns (distinct values), many_outliers of numeric columns (values outside the quartile bounds), constant columns (distinct values, 0 or 1)."""
+    kinds, numeric = dict(df.dtypes), numeric_columns(df)
+    texts = [c for c in df.columns if kinds[c] == "string"]
+    cells = sum((F.col(f"`{c}`").isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    whole = df.agg(F.try_divide(F.sum(cells).cast("double"), (F.count("*") * len(df.columns)).cast("double")).alias("value"))
+    out = whole.where(F.col("value") > most_missing).select(F.lit("much_missing").alias("flag"), F.lit(None).cast("string").alias("subject"), "value")
+    out = out.unionByName(duplicate_rate(df).where(F.col("rate") > most_duplicates).select(F.lit("many_duplicates").alias("flag"), F.lit(None).cast("string").alias("subject"), F.col("rate").alias("value")))
+    if texts:
+        sizes = value_counts(df, texts).groupBy("column").agg(F.count("*").alias("n")).crossJoin(df.agg(F.count("*").alias("_rows")))  # one row
+        wide = sizes.where((F.col("n") > least) & (F.col("n") > many * F.col("_rows")))
+        out = out.unionByName(wide.select(F.lit("high_cardinality").alias("flag"), F.col("column").alias("subject"), F.col("n").cast("double").alias("value")))
+    if numeric:
+        bounds = {r["column"]: r for r in percentiles_of(df, numeric).collect()}  # one row a column
+        far = {c: (F.col(f"`{c}`") < r["q1"] - 1.5 * (r["q3"] - r["q1"])) | (F.col(f"`{c}`") > r["q3"] + 1.5 * (r["q3"] - r["q1"])) for c, r in bounds.items() if r["q1"] is not None}
+        if far:
+            wide = df.agg(F.count("*").alias("_rows"), F.array(*[F.struct(F.lit(c).alias("subject"), F.count(F.when(x, 1)).cast("double").alias("value")) for c, x in far.items()]).alias("c"))
+            wide = wide.select("_rows", F.inline("c")).where(F.col("value") > most_outliers * F.col("_rows"))
+            out = out.unionByName(wide.select(F.lit("many_outliers").alias("flag"), "subject", "value"))
+    one = by_column(df, [c for c in df.columns if not kinds[c].startswith("map")], {"lo": lambda c: F.min(c.cast("string")), "hi": lambda c: F.max(c.cast("string"))})
+    constant = one.where(F.col("lo").eqNullSafe(F.col("hi")))
+    return out.unionByName(constant.select(F.lit("constant").alias("flag"), F.col("column").alias("subject"), F.col("lo").isNotNull().cast("double").alias("value")))
+
+
+def percentiles_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    return percentile_table(df, columns, {"q1": 0.25, "q3": 0.75})
+
+
+def fallback_findings(evidence_rows: DataFrame) -> DataFrame:
+    """(id, kind, finding, evidence, confidence): findings by rule from the rows of evidence(): the first indicator by name, and the most unequal metric."""
+    first = evidence_rows.where("kind = 'kpi'").orderBy("subject").limit(1).select(
+        F.lit(1).alias("id"), "kind", F.format_string("Key metric %s shows significant variation across the dataset", "subject").alias("finding"), F.format_string("Mean value: %.1f", F.coalesce("value", F.lit(0.0))).alias("evidence"), F.lit("MEDIUM").alias("confidence"))
+    second = evidence_rows.where("kind = 'inequality'").orderBy(F.desc("value"), "subject").limit(1).select(
+        F.lit(2).alias("id"), "kind", F.format_string("Significant geographic inequality detected in %s", "subject").alias("finding"), F.format_string("Inequality level: %s", F.coalesce("label", F.lit("unknown"))).alias("evidence"), F.lit("HIGH").alias("confidence"))
+    return first.unionByName(second)
+
+
+def fallback_recommendations(findings: DataFrame) -> DataFrame:
+    """(recommendation, finding, priority, timeframe): one row for the first finding, none without findings."""
+    return findings.orderBy("id").limit(1).select(F.lit("Conduct detailed analysis of identified patterns for targeted interventions").alias("recommendation"), "finding", F.lit("HIGH").alias("priority"), F.lit("Short-term").alias("timeframe"))
+
+
+def data_summary(df: DataFrame, numbers: int = 10, texts: int = 8, most_pairs: int = 10, place: str | None = None) -> DataFrame:
+    """(section, subject, item, value): a table in few rows: mean, std, min, max and outliers of the first numeric columns, the five most frequent values of
+    the first text columns, the strongest pairs above 0.5, and the highest and lowest places by the mean of the first numeric column."""
+    numeric, kinds = metric_columns(df)[:numbers], dict(df.dtypes)
+    words = [c for c in df.columns if kinds[c] == "string"][:texts]
+    empty = df.sparkSession.createDataFrame([], "section string, subject string, item string, value double")
+    parts = [empty]
+    if numeric:
+        d = lambda f: lambda c: f(c.cast("double"))
+        k = by_column(df, numeric, {"mean": d(F.avg), "std": d(F.stddev_samp), "min": d(F.min), "max": d(F.max)})
+        b = {r["column"]: r for r in percentiles_of(df, numeric).collect()}  # one row a column
+        outside = {c: F.count(F.when((F.col(f"`{c}`") < r["q1"] - 1.5 * (r["q3"] - r["q1"])) | (F.col(f"`{c}`") > r["q3"] + 1.5 * (r["q3"] - r["q1"])), 1)) if r["q1"] is not None else F.lit(0) for c, r in b.items()}
+        items = F.array(*[F.struct(F.lit(s).alias("item"), F.col(s).alias("value")) for s in ("mean", "std", "min", "max")])
+        parts.append(k.select(F.lit("numeric").alias("section"), F.col("column").alias("subject"), F.inline(items)))
+        counts = df.agg(F.array(*[F.struct(F.lit(c).alias("subject"), x.cast("double").alias("value")) for c, x in outside.items()]).alias("c")).select(F.inline("c"))
+        parts.append(counts.select(F.lit("numeric").alias("section"), "subject", F.lit("outliers").alias("item"), "value"))
+    if words:
+        top = top_values(df, words).select(F.lit("categorical").alias("section"), F.col("column").alias("subject"), F.col("value").alias("item"), F.col("n").cast("double").alias("value"))
+        parts.append(top)
+    if len(numeric) > 1:
+        pairs = stats.strong_pairs(stats.pearson_pairs(df, numeric), 0.5, most_pairs)
+        parts.append(pairs.select(F.lit("pair").alias("section"), F.col("a").alias("subject"), F.col("b").alias("item"), F.col("r").alias("value")))
+    if place and numeric:
+        means = df.where(F.col(place).isNotNull()).groupBy(place).agg(F.avg(numeric[0]).alias("value"))
+        ends = stats.top_and_bottom(means, place, "value", 3)
+        parts.append(ends.select(F.col("side").alias("section"), F.col(place).cast("string").alias("subject"), F.lit(numeric[0]).alias("item"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

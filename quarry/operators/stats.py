@@ -221,6 +221,12 @@ def top_and_bottom(df: DataFrame, key: str, value: str, most: int = 5) -> DataFr
     return top.unionByName(df.orderBy(value, key).limit(most).select(key, value, F.lit("bottom").alias("side")))
 
 
+def mode_of(df: DataFrame, c: str) -> DataFrame:
+    """(mode, n): the most frequent value of a column, of equals the smallest. Values are counted first."""
+    n = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("mode")).agg(F.count("*").alias("n"))
+    return n.agg(F.min(F.struct((-F.col("n")).alias("n"), "mode")).alias("m")).select("m.mode", (-F.col("m.n")).alias("n"))
+
+
 def distribution(df: DataFrame, c: str) -> DataFrame:
     from ..functions.scalars import sample_kurtosis, sample_skewness
 

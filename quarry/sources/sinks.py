@@ -27,3 +27,25 @@ def markdown(df: DataFrame, title: str) -> str:
     rows = df.collect()
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows], ""])
+
+
+def write_preview(df: DataFrame, path: str) -> None:
+    """A small table of previews as one CSV file with a header, beside the tables it previews."""
+    write_table(df, path, "csv", single=True)
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """A document of plain data (see to_document) as one JSON text file in a folder, replacing what is there."""
+    spark.createDataFrame([(json.dumps(document, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def report_text(title: str, sections: dict[str, DataFrame | str]) -> str:
+    """A Markdown report: a heading and a table, or text, for each section."""
+    parts = [f"# {title}", ""]
+    for name, body in sections.items():
+        parts += [markdown(body, name).replace("# ", "## ", 1) if isinstance(body, DataFrame) else f"## {name}\n\n{body}\n"]
+    return "\n".join(parts)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quarry.plans import more, reports, scale  # noqa: F401  register their queries
+from quarry.plans import more, reports, rules, scale  # noqa: F401  register their queries
 from quarry.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -270,3 +270,38 @@ def test_pipeline_of_odd_tables(spark):
         assert all(t.collect() is not None for t in out["analyze"].tables.values())
     with pytest.raises(Exception, match="broken"):
         pipeline.run(spark.range(3).withColumn("x", F.when(F.col("id") > 5, 1).otherwise(F.raise_error(F.lit("broken")).cast("int"))), retries=1)
+
+
+def test_documents_of_a_run(spark, tmp_path):
+    from quarry.plans import documents, pipeline
+    from quarry.sources import sinks
+
+    out = pipeline.run(messy(spark, 150), trace=trace.Trace(spark, "r"))
+    documents.write_run(spark, out, str(tmp_path / "run"))
+    found = {n: sinks.read_document(spark, str(tmp_path / f"run/documents/{n}")) for n in documents.DOCUMENTS}
+    assert len(found) == 9 and found["validation_report"]["gates"][0]["gate"] and found["run_summary"]["summary"][0]["run_id"] == "r"
+    assert found["insights"]["findings"][0]["id"] == 1 and found["schema_mapping"]["report"][0]["column"] == "Dist Name"
+    assert spark.read.csv(str(tmp_path / "run/preview"), header=True).count() > 0 and spark.read.json(str(tmp_path / "run/quality_log")).count() == 4
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "run/report")).collect())
+    assert "## Gates" in text and "| sufficient_data |" in text and "## Findings" in text
+    assert spark.read.parquet(str(tmp_path / "run/cleaned")).count() == out["clean"].df.count()
+
+
+def test_small_rules(spark):
+    from quarry.operators import memory, quality, reports, stats
+
+    gates = quality.named_gates(spark.range(5), ["sufficient_data", "what"])
+    assert [(g["gate"], g["passed"]) for g in gates] == [("sufficient_data", False), ("what", True)] and gates[1]["details"] == "gate not implemented"
+    broken = spark.range(5).withColumn("x", F.raise_error(F.lit("broken")).cast("int"))
+    assert not quality.named_gates(broken, ["sufficient_data"])[0]["passed"]
+    known = spark.createDataFrame([("Reg_Date", "date", 0.9), ("reg_date", "day", 0.5), ("reg_date", "day", 0.6), ("user_id", "id", 0.5)], "o string, c string, q double")
+    got = {r["name"]: (r["choice"], r["rule"]) for r in memory.suggest(known, ["REG_DATE", "paid_date", "z"], "o", "c", "q").collect()}
+    assert got == {"REG_DATE": ("day", "exact"), "paid_date": ("date", "pattern")}
+    none = spark.createDataFrame([], "kind string, subject string, value double, label string")
+    assert reports.fallback_findings(none).count() == 0 and reports.fallback_recommendations(reports.fallback_findings(none)).count() == 0
+    some = reports.fallback_findings(spark.createDataFrame([("inequality", "x", 0.5, "high"), ("kpi", "y", 2.0, None)], none.schema))
+    assert [r.confidence for r in some.orderBy("id").collect()] == ["MEDIUM", "HIGH"] and reports.fallback_recommendations(some).first().finding.startswith("Key metric y")
+    assert stats.mode_of(none, "subject").first()["mode"] is None
+    flags = {(r.flag, r.subject) for r in reports.profile_flags(spark.createDataFrame([(None, 1), (None, 1), (None, 1)], "a string, b int")).collect()}
+    assert flags == {("much_missing", None), ("many_duplicates", None), ("constant", "a"), ("constant", "b")}
+    assert {(r.item, r.value) for r in reports.data_summary(none).collect()} == {(i, None) for i in ("mean", "std", "min", "max")} | {("outliers", 0.0)}
