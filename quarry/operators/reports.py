@@ -198,10 +198,12 @@ def total_effort(recommendations: DataFrame) -> DataFrame:
     return w.withColumn("effort", F.when(F.col("weight") <= 3, "low").when(F.col("weight") <= 8, "medium").otherwise("high"))
 
 
-def evidence(kpis: DataFrame, correlations: DataFrame, inequality: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
-    """(kind, subject, value, label): every mean, the five strongest significant correlations, levels of inequality, up to three significant tests.
+def evidence(kpis: DataFrame, correlations: DataFrame, inequality: DataFrame | None = None, tests: DataFrame | None = None, trends: DataFrame | None = None) -> DataFrame:
+    """(kind, subject, value, label): every mean, the five strongest significant correlations, levels of inequality, up to three significant tests, all
+    significant trends.
 
-    kpis have column and mean; correlations a, b, r and significant; inequality metric, gini and level; tests name, p_value and significant."""
+    kpis have column and mean; correlations a, b, r and significant; inequality metric, gini and level; tests name, p_value and significant; trends metric,
+    slope, direction and significant."""
     out = kpis.select(F.lit("kpi").alias("kind"), F.col("column").alias("subject"), F.col("mean").alias("value"), F.lit(None).cast("string").alias("label"))
     strong = correlations.where("significant").orderBy(F.desc(F.abs("r")), "a", "b").limit(5)
     out = out.unionByName(strong.select(F.lit("correlation").alias("kind"), F.concat_ws(" ~ ", "a", "b").alias("subject"), F.col("r").alias("value"), F.when(F.col("r") > 0, "positive").otherwise("negative").alias("label")))
@@ -210,6 +212,8 @@ def evidence(kpis: DataFrame, correlations: DataFrame, inequality: DataFrame | N
     if tests is not None:
         found = tests.where("significant").orderBy("p_value", "name").limit(3)
         out = out.unionByName(found.select(F.lit("test").alias("kind"), F.col("name").alias("subject"), F.col("p_value").alias("value"), F.lit("significant").alias("label")))
+    if trends is not None:
+        out = out.unionByName(trends.where("significant").select(F.lit("trend").alias("kind"), F.col("metric").alias("subject"), F.col("slope").alias("value"), F.col("direction").alias("label")))
     return out
 
 

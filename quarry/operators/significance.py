@@ -69,6 +69,13 @@ def linear_trend(df: DataFrame, y: str, x: str, group: str | None = None) -> Dat
     return judged(stats.linear_trend(df, y, x, group), tail(lambda r, n: stats_p(r, int(n)), r, F.col("n")))
 
 
+def trends_over_time(df: DataFrame, time: str, metrics: list[str]) -> DataFrame:
+    """(metric, slope, intercept, r2, n, direction, strength, p_value, significant) of several metrics over days, a row each, from one grouped pass."""
+    days = F.unix_micros(F.col(f"`{time}`").cast("timestamp")) / 86_400_000_000
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").cast("double").alias("y")) for m in metrics]))
+    return linear_trend(df.select(days.alias("x"), cells.alias("c")).select("x", "c.*"), "y", "x", "metric")
+
+
 def cohens_d(df: DataFrame, value: str, group: str) -> DataFrame:
     """Mean gap of the first and last group by name over their pooled deviation."""
     m = stats.group_moments(df, value, group).agg(F.min_by(F.struct("n", "m", "v"), "g").alias("a"), F.max_by(F.struct("n", "m", "v"), "g").alias("b"))

@@ -168,6 +168,7 @@ def analyzed(df: DataFrame, cfg: Thresholds = DEFAULTS, most: int = 10) -> Stage
         tables["independence"] = significance.chi_square(df, need.groups[0], need.groups[1])
     times = [c for c in naming.columns_for(df, "time") if c not in numeric and dict(df.dtypes)[c] != "string"] + [c for c in need.times if c not in naming.columns_for(df, "time")]
     if times and metrics:
+        tables["trends"] = significance.trends_over_time(df, times[0], metrics[:most])
         tables["monthly"] = stats.monthly(df, times[0], metrics[0])
         tables["seasonality"] = reports.seasonality(df, times[0], metrics[0])
     places = naming.columns_for(df, "geographic")
@@ -175,7 +176,7 @@ def analyzed(df: DataFrame, cfg: Thresholds = DEFAULTS, most: int = 10) -> Stage
         tables["inequality"] = stats.gini(df, places[0], metrics[0]).select(F.lit(metrics[0]).alias("metric"), "gini", "cv", "ratio", "level")
         tables["regions"] = stats.top_and_bottom(stats.regional(df, places[0], metrics[0]), places[0], "total")
     if "numeric_kpis" in tables and "correlations" in tables:
-        tables["evidence"] = reports.evidence(tables["numeric_kpis"], tables["correlations"], tables.get("inequality"))
+        tables["evidence"] = reports.evidence(tables["numeric_kpis"], tables["correlations"], tables.get("inequality"), trends=tables.get("trends"))
     main = tables.get("numeric_kpis", df.limit(0))
     return StageResult(main, [{"table": name} for name in tables], tables)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, memory, naming, reports, stats, summary
+from ..operators import features, memory, naming, profile, reports, significance, stats, summary
 from . import trace
 from .catalogue import ORDERS_GAPS, gaps, query, rounded, rsql
 
@@ -81,10 +81,17 @@ def mapping_suggestion(t):
     return rounded(memory.suggest(t, asked, "p_brand", "p_type", "p_size"))
 
 
+_TREND = "SELECT '{m}' AS metric, regr_slope({m}, d) AS slope, regr_intercept({m}, d) AS intercept, regr_r2({m}, d) AS r2, regr_count({m}, d)::BIGINT AS n FROM (SELECT *, epoch_us(o_orderdate) / 86400000000.0 AS d FROM {t})"
+
+
+@query("orders", sql=rsql("slope intercept r2", f"SELECT *, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'flat' END AS direction FROM ({_TREND.format(m='o_totalprice', t=ORDERS_GAPS)} UNION ALL {_TREND.format(m='o_custkey', t=ORDERS_GAPS)})", "metric n direction", 4))
+def trends_over_time(t):
+    out = significance.trends_over_time(gaps(t, "o_totalprice", "o_orderkey"), "o_orderdate", ["o_totalprice", "o_custkey"])
+    return rounded(out.select("metric", "slope", "intercept", "r2", "n", "direction"), 4)
+
+
 @query("orders", sql=f"""SELECT 1 AS id, 'kpi' AS kind, 'Key metric o_totalprice shows significant variation across the dataset' AS finding, format('Mean value: {{:.1f}}', avg(o_totalprice)) AS evidence, 'MEDIUM' AS confidence FROM {ORDERS_GAPS}""")
 def findings_by_rule(t):
-    from ..operators import profile, significance
-
     x = gaps(t, "o_totalprice", "o_orderkey")
     kpis = profile.numeric_kpis(x, ["o_totalprice"])
     return reports.fallback_findings(reports.evidence(kpis, significance.correlations(x, ["o_totalprice", "o_custkey"])))

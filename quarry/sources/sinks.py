@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
+import os
+from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,23 @@ def append_log(spark: SparkSession, events: list[dict], path: str) -> None:
     spark.createDataFrame([(json.dumps(e, default=str, sort_keys=True),) for e in events], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def json_log(name: str, path: str, most_bytes: int = 10_000_000, kept: int = 5) -> logging.Logger:
+    """The driver's logger of that name, which also writes its lines as JSON to a local file; a full file is set aside, up to `kept` of them."""
+
+    class Lines(logging.Formatter):
+        def format(self, record: logging.LogRecord) -> str:
+            extra = {k: v for k, v in vars(record).items() if k not in vars(logging.makeLogRecord({})) and k != "message"}
+            return json.dumps({"time": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage(), **extra}, default=str)
+
+    log = logging.getLogger(name)
+    if not any(getattr(h, "baseFilename", None) == os.path.abspath(path) for h in log.handlers):
+        handler = RotatingFileHandler(path, maxBytes=most_bytes, backupCount=kept, encoding="utf-8")
+        handler.setFormatter(Lines())
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+    return log
+
+
 def to_document(df: DataFrame) -> list[dict]:
     """A result table of aggregates as plain data."""
     return [r.asDict(recursive=True) for r in df.collect()]

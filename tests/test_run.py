@@ -305,3 +305,25 @@ def test_small_rules(spark):
     flags = {(r.flag, r.subject) for r in reports.profile_flags(spark.createDataFrame([(None, 1), (None, 1), (None, 1)], "a string, b int")).collect()}
     assert flags == {("much_missing", None), ("many_duplicates", None), ("constant", "a"), ("constant", "b")}
     assert {(r.item, r.value) for r in reports.data_summary(none).collect()} == {(i, None) for i in ("mean", "std", "min", "max")} | {("outliers", 0.0)}
+
+
+def test_types_do_not_hang_on_the_size_of_a_table(spark):
+    from quarry.operators import detect, stats
+
+    prose = spark.range(520).select(F.when(F.col("id") % 26 == 0, F.concat(F.lit("the state of the city and its ward "), "id")).otherwise(F.concat(F.lit("some words "), "id")).alias("s"), F.lit(5.0).alias("same"), F.col("id").cast("double").alias("x"))
+    kinds = [detect.type_scores(df, ["s"]).first() for df in (prose, prose.where("id < 52"))]
+    assert [r.geographic for r in kinds] == [0.0, 0.0] and [r.type for r in kinds] == ["text", "text"]
+    assert {(r.a, r.b): r.r for r in stats.pearson_pairs(prose, ["same", "x"]).collect()} == {("same", "x"): None}
+
+
+def test_json_log_rotates(tmp_path):
+    import json
+
+    from quarry.sources import sinks
+
+    log = sinks.json_log("quarry.test", str(tmp_path / "run.log"), most_bytes=400, kept=2)
+    assert sinks.json_log("quarry.test", str(tmp_path / "run.log")) is log and len(log.handlers) == 1
+    for i in range(12):
+        log.info("line %d", i, extra={"stage": "clean"})
+    lines = [json.loads(x) for x in (tmp_path / "run.log").read_text().splitlines()]
+    assert lines[-1]["message"] == "line 11" and lines[-1]["stage"] == "clean" and (tmp_path / "run.log.2").exists() and not (tmp_path / "run.log.3").exists()
