@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import licenses, lines, lm, mixing, neardup, packing, quality, secrets, substrings
+from quarry.llm import licenses, lines, lm, mixing, neardup, packing, phrases, quality, resampling, secrets, substrings, suffixes
 from quarry.llm.common import delete, names, scratch, stored
 
 LONG = "Some words of a very long text, over and over again.\n" * 4000
@@ -11,11 +11,13 @@ ROWS = [(None, None, None), (None, "a b c d e f", "s"), (1, "", "s"), (2, " \t\n
 CLASH = ["_key", "_hash", "_doc", "_drop", "_lines", "_words", "_kept", "_row", "_ranges", "_cut", "_h", "_bucket", "_run", "_size", "_finish", "_text", "_train", "size", "target", "source_size", "finish", "taken", "n_lines", "kept_text", "n_words", "cleaned", "kept", "component_id", "part", "ids", "score", "lang", "n_chars"]
 NEW = {
     "lines": ["n_lines", "n_dropped", "kept_text"], "substrings": ["n_words", "n_removed", "kept_text"], "mixing": ["size", "source_size", "target", "finish", "served", "taken"],
+    "resampling": ["n_words", "n_features", "weight", "score"], "suffixes": ["n_bytes", "n_removed", "n_spans", "spans", "kept_bytes"],
     "quality": ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words", "cleaned", "kept"],
 }
 OPERATORS = {
     "lines": lines.line_dedup, "substrings": substrings.substring_dedup, "mixing": mixing.mix_sources, "mixed": mixing.mixed_documents, "quality": quality.quality_rules, "secrets": secrets.secret_scan,
     "licenses": licenses.license_scan, "lm": lm.score_documents, "near": neardup.near_duplicates, "packing": lambda d: packing.pack(d, tokenizer=packing.tokenizer_path(), keep_ids=False),
+    "resampling": lambda d: resampling.importance_scores(d, d.select("text")), "suffixes": suffixes.suffix_dedup,
 }
 
 
@@ -89,3 +91,38 @@ def test_line_runs_of_nothing(spark):
     for _ in range(4):
         runs.add(none)
     assert runs.close().count() == 0
+
+
+def test_new_operators_on_odd_rows(docs):
+    """Repeated rows and copies lose all of a long text; texts below the window lose nothing."""
+    rows = suffixes.suffix_dedup(docs).collect()
+    assert sorted((r.doc_id, r.n_removed == r.n_bytes) for r in rows if r.text == LONG) == [(3, True), (4, True), (4, True)]
+    assert all(r.n_removed == 0 and bytes(r.kept_bytes).decode() == (r.text or "") for r in rows if r.text != LONG)
+    drawn = resampling.importance_resample(docs, docs.select("text"), percent=100).collect()
+    assert sorted(r.rank for r in drawn if r.rank) == [1, 2, 3] and len(drawn) == len(ROWS)
+    found = phrases.collocations(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang for r in found} == {"und"} and all(r.a >= 30 for r in found) and "some words of a" in {r.phrase for r in found}
+    assert phrases.collocations(docs.limit(0)).count() == 0
+
+
+def test_packing_from_a_folder_without_the_package(tmp_path):
+    """Workers that can't import the package: the driver finds it by sys.path alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(packing.__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from quarry.llm import packing, phrases, resampling, suffixes
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = spark.createDataFrame([(i, "some words " * 50, "en") for i in range(9)], "doc_id long, text string, lang string").repartition(3)
+rows = packing.pack(docs, tokenizer=packing.tokenizer_path()).collect()
+n = suffixes.suffix_dedup(docs).where("n_removed > 0").count(), resampling.importance_resample(docs, docs).count(), phrases.collocations(docs).count()
+print("packed", sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0), *n)
+"""
+    (tmp_path / "run.py").write_text(code)
+    out = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "packed True 9 9" in out.stdout, out.stderr[-2000:]
