@@ -202,12 +202,22 @@ def gini(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("level", F.when(F.col("gini") > 0.4, "high").when(F.col("gini") > 0.25, "medium").otherwise("low"))
 
 
-def top_performers(df: DataFrame, entity: str, metrics: list[str], most: int = 10) -> DataFrame:
-    """Entities by the mean over metrics of (entity mean - least value) / (largest - least value)."""
+def entity_scores(df: DataFrame, entity: str, metrics: list[str]) -> DataFrame:
+    """(entity, score): the mean over metrics of (entity mean - least value) / (largest - least value)."""
     b = df.agg(*[F.min(m).alias(f"_lo_{m}") for m in metrics], *[F.max(m).alias(f"_hi_{m}") for m in metrics])
-    e = df.groupBy(entity).agg(*[F.avg(m).alias(m) for m in metrics]).crossJoin(F.broadcast(b))
+    e = df.groupBy(entity).agg(*[F.avg(m).alias(m) for m in metrics]).crossJoin(F.broadcast(b))  # one row
     score = sum((F.try_divide(F.col(m) - F.col(f"_lo_{m}"), F.col(f"_hi_{m}") - F.col(f"_lo_{m}")) for m in metrics), F.lit(0.0)) / len(metrics)
-    return e.select(entity, score.alias("score")).orderBy(F.desc("score"), entity).limit(most)
+    return e.select(entity, score.alias("score"))
+
+
+def top_performers(df: DataFrame, entity: str, metrics: list[str], most: int = 10) -> DataFrame:
+    """The entities with the highest scores, ties by name."""
+    return entity_scores(df, entity, metrics).orderBy(F.desc("score"), entity).limit(most)
+
+
+def score_statistics(df: DataFrame, entity: str, metrics: list[str]) -> DataFrame:
+    """One row (entities, highest, lowest, mean, std) of the scores of all entities."""
+    return entity_scores(df, entity, metrics).agg(F.count("*").alias("entities"), F.max("score").alias("highest"), F.min("score").alias("lowest"), F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"))
 
 
 def regional(df: DataFrame, region: str, value: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,18 @@ def head_fingerprint(df: DataFrame, order: list[str], columns: list[str], most:
     return head.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["_row"]), "\n").cast("binary")).alias("md5"))
 
 
+def schema_fingerprint(df: DataFrame) -> str:
+    """MD5 of a table's column names and types, whatever the order of columns."""
+    return hashlib.md5("\n".join(f"{c}:{k}" for c, k in sorted(df.dtypes)).encode(), usedforsecurity=False).hexdigest()
+
+
+def sample_values(df: DataFrame, columns: list[str], most: int = 5) -> DataFrame:
+    """(column, samples): the most frequent values of each column as text, ties by value; a column of nulls has none."""
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").coalesce(1)
+    top = top_values(df, columns, most).groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("samples"))  # at most `most` a column
+    return every.join(top, "column", "left").select("column", F.coalesce("samples", F.expr("cast(array() as array<string>)")).alias("samples"))
+
+
 def text_preview(df: DataFrame, order: list[str], most: int = 5) -> DataFrame:
     """The first rows by order, every column as text, null as NULL."""
     return df.orderBy(*order).limit(most).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")).alias(c) for c in df.columns])

@@ -41,7 +41,7 @@ def inferred(df: DataFrame, context: Context = Context(), cfg: Thresholds = DEFA
     found = [(r["column"], r["type"], r["confidence"]) for r in scores.collect()] if simple else []  # one row a column
     proposals = naming.mapping(found, context.domain, {**detect.ALIASES, **cfg.aliases})
     report = [{"column": p.original, "canonical": p.canonical, "type": p.kind, "confidence": p.confidence, "rule": p.rule, "hint": p.hint} for p in proposals]
-    return StageResult(df, report, {"types": scores, "schema_info": reports.schema_info(scores)} if simple else {}), proposals
+    return StageResult(df, report, {"types": scores, "schema_info": reports.schema_info(scores), "samples": summary.sample_values(df, simple)} if simple else {}), proposals
 
 
 def standardize(df: DataFrame, proposals: list[naming.Named], cfg: Thresholds = DEFAULTS) -> StageResult:
@@ -216,10 +216,9 @@ def run(df: DataFrame, cfg: Thresholds = DEFAULTS, context: Context = Context(),
 def run_record(result: dict[str, StageResult], run_id: str, dataset: str, domain: str, now: str) -> DataFrame:
     """The row of a run for the run memory (see run_memory.TABLES)."""
     df, scores = result["clean"].df, result["validate"].tables["scores"].first()
-    schema = ",".join(f"{c}:{k}" for c, k in sorted(result["ingest"].df.dtypes))
     rows = df.count()
     return df.sparkSession.range(1).select(
-        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset_name"), F.lit(domain).alias("domain"), F.md5(F.lit(schema).cast("binary")).alias("schema_hash"), F.lit(None).cast("string").alias("sample_hash"),
+        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset_name"), F.lit(domain).alias("domain"), F.lit(summary.schema_fingerprint(result["ingest"].df)).alias("schema_hash"), F.lit(None).cast("string").alias("sample_hash"),
         F.lit(now).cast("timestamp").alias("timestamp"), F.lit(scores["overall_score"] / 100).alias("confidence_score"), F.lit(scores["overall_score"]).alias("quality_score"), F.lit(rows).cast("long").alias("rows_processed"),
         F.lit(len(df.columns)).cast("long").alias("columns_processed"), F.lit(int(result["validate"].report[-1]["route"] == "continue")).alias("success"),
     )

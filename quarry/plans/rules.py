@@ -118,3 +118,15 @@ def trace_summary(t):
 def stage_statistics(t):
     log = t.select(F.col("event_type").alias("stage"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("completed").alias("status"), F.col("value").alias("seconds"), F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("rows"))
     return rounded(trace.stage_statistics(log), 4)
+
+
+@query("part", sql=rsql("highest lowest mean std", """WITH b AS (SELECT min(p_size) AS a, max(p_size) AS b, min(p_retailprice) AS c, max(p_retailprice) AS d FROM part), e AS (SELECT p_brand, avg(p_size) AS s, avg(p_retailprice) AS r FROM part GROUP BY 1),
+    s AS (SELECT ((s - a) / (b - a)::DOUBLE + (r - c) / (d - c)) / 2 AS score FROM e, b) SELECT count(*) AS entities, max(score) AS highest, min(score) AS lowest, avg(score) AS mean, stddev_samp(score) AS std FROM s""", "entities"))
+def score_statistics(t):
+    return rounded(stats.score_statistics(t, "p_brand", ["p_size", "p_retailprice"]))
+
+
+@query("orders", sql=""" SELECT c AS "column", samples[1] AS first_sample, len(samples)::INT AS n FROM (SELECT 'o_orderstatus' AS c, list(v ORDER BY n DESC, v)[1:5] AS samples FROM (SELECT o_orderstatus AS v, count(*) AS n FROM orders GROUP BY 1) UNION ALL SELECT 'o_orderpriority', list(v ORDER BY n DESC, v)[1:5] FROM (SELECT o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1))""")
+def sample_values(t):
+    out = summary.sample_values(t, ["o_orderstatus", "o_orderpriority"])
+    return out.select("column", F.get("samples", F.lit(0)).alias("first_sample"), F.size("samples").alias("n"))
