@@ -17,17 +17,40 @@ MOST = 5000
 def hash_sample(df: DataFrame, groups: list[str], key: list[str], most: int = MOST, seed: int = 42, salts: int = 32) -> DataFrame:
     """Of each group the `most` rows with the least MD5 of seed and key, all of a smaller group. A sampling operator: the bound is its purpose.
 
-    The key names a row; rows with one key stand or fall by the order of their other columns. Each of `salts` parts of a group is cut first, so
-    that a large group meets in one task only as salts * most rows.
+    The key names a row; rows with one key stand or fall by the order of their other columns. Rows are counted by group and size of their hash (in bits) first,
+    so of a larger group only about twice `most` rows are sorted; the groups' bounds, one row in `most` rows at most, are broadcast. Rows that share one key
+    pass that bound together: each of `salts` parts of a group is cut before the whole.
     """
     h = F.md5(F.concat_ws("\\0", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in key]).cast("binary"))
     rest = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.withColumns({"_h": h, "_salt": F.pmod(F.crc32(h), F.lit(salts))})
+    rows = df.withColumn("_h", h).withColumn("_bits", F.length(F.bin(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"))))
+    own = [f"_g{i}" for i in range(len(groups))]
+    sizes = rows.groupBy(*[F.col(f"`{g}`").alias(o) for g, o in zip(groups, own, strict=True)], "_bits").agg(F.count("*").alias("_n"))
+    until = F.sum("_n").over(Window.partitionBy(*own).orderBy("_bits"))  # at most 60 rows a group
+    bounds = sizes.withColumn("_until", until).where(F.col("_until") >= most).groupBy(*own).agg(F.min("_bits").alias("_most_bits"))
+    same = [F.col(f"`{g}`").eqNullSafe(F.col(o)) for g, o in zip(groups, own, strict=True)] or [F.lit(True)]
+    rows = rows.join(F.broadcast(bounds), same, "left").where(F.col("_most_bits").isNull() | (F.col("_bits") <= F.col("_most_bits")))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
     for by in (["_salt"], []):
         rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*groups, *by).orderBy("_h", *rest))).where(F.col("_place") <= most)
     return rows.select(rest)
 
 
+def in_large_groups(df: DataFrame, group: str, least: int) -> DataFrame:
+    """The rows in groups of at least `least` rows (nulls in none). Nothing is joined if that is all of them.
+
+    The groups that hold a thousandth of the rows or more, at most a thousand, are broadcast; the rows of the others are joined by group.
+    """
+    full = df.where(F.col(f"`{group}`").isNotNull())
+    sizes = full.groupBy(F.col(f"`{group}`").alias("_g")).agg(F.count("*").alias("_n"))
+    small, rows = sizes.agg(F.count(F.when(F.col("_n") < least, 1)), F.sum("_n")).first()  # one row
+    if not small:
+        return full
+    same, large = F.col(f"`{group}`") == F.col("_g"), sizes.where(F.col("_n") >= least)
+    hot = F.broadcast(large.where(F.col("_n") >= rows / 1000))
+    return full.join(hot, same, "left_semi").unionByName(full.join(hot, same, "left_anti").join(large, same, "left_semi"))
+
+
 def shapiro(df: DataFrame, value: str, key: list[str], group: str | None = None, alpha: float = DEFAULTS.alpha, most: int = MOST) -> DataFrame:
     """(group, n, w, p_value, normal) of each group's values, null groups and values left out; n of all, the test from at most `most` of them.
 
@@ -54,9 +77,7 @@ def compare_groups(df: DataFrame, value: str, group: str, key: list[str], alpha:
     Two groups that both pass for normal: Student's t; else Mann and Whitney. More groups, all normal: analysis of variance; else Kruskal and Wallis. No
     row for fewer than two groups. Groups that are too small take no part.
     """
-    full = df.where(F.col(f"`{value}`").isNotNull() & F.col(f"`{group}`").isNotNull())
-    large = full.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(group)
-    full = full.join(large, group, "left_semi")
+    full = in_large_groups(df.where(F.col(f"`{value}`").isNotNull()), group, least)
     gate = shapiro(full, value, key, group, alpha).agg(F.count("*").alias("k"), F.every(F.coalesce("normal", F.lit(False))).alias("normal")).first()  # one row
     tests = {
         (True, True): ("Independent t-test", significance.t_test, "t"), (True, False): ("Mann-Whitney U test", significance.mann_whitney, "u"),

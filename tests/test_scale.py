@@ -1,8 +1,10 @@
 """Ranks, percentiles and windows over whole tables, and tests of distributions, against plain Python."""
 
+import hashlib
 import math
 import random
 import statistics
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,3 +169,42 @@ def test_normality_and_distribution_tests(samples):
     assert normality.distribution_tests(samples, "signed", ["id"]).first().p_exponential is None
     assert normality.distribution_tests(samples, "tail", ["id"], most=100).first().p_normal < 0.05
     assert normality.normality_tests(samples.limit(2), ["bell"], ["id"]).count() == 0
+
+
+def shuffled(df):
+    """Rows written by each exchange of the whole-stage plan that ran."""
+    assert df.collect()
+    found, rest = [], [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        p = rest.pop()
+        name = p.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found.append(p.metrics().apply("shuffleRecordsWritten").value())
+        rest += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_hash_sample_of_a_large_group_sorts_few_rows(spark):
+    """The least MD5s as in plain Python, also where rows share a key or groups are null, and only about twice the sample is shuffled."""
+    rows = spark.range(0, 20000, 1, 4).select("id", F.when(F.col("id") >= 50, F.lit("g")).alias("g"), F.lit("one").alias("one"))
+    first = sorted(range(50, 20000), key=lambda i: hashlib.md5(rf"42\0{i}".encode()).hexdigest())[:100]
+    sample = normality.hash_sample(rows, ["g"], ["id"], 100)
+    assert sorted(r.id for r in sample.collect()) == sorted([*range(50), *first])
+    assert max(shuffled(sample)) < 1000
+    assert sorted(r.id for r in normality.hash_sample(rows, ["g"], ["one"], 100).collect()) == [*range(150)]
+    assert sorted(r.id for r in normality.hash_sample(rows.where("id < 300"), [], ["one"], 100).collect()) == [*range(100)]
+
+
+def test_compare_groups_shuffles_no_rows_by_group(spark, table):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is not small
+    try:
+        assert max(shuffled(normality.compare_groups(table, "few", "g", ["id"]))) < 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_in_large_groups(spark):
+    rows = [(i, "hot" if i < 2000 else None if i < 2010 else f"{(i - 2010) % 7 % 4}-{(i - 2010) // 7}") for i in range(3000)]
+    sizes = Counter(g for _, g in rows)
+    got = normality.in_large_groups(spark.createDataFrame(rows, "id long, g string").repartition(3), "g", 2).collect()
+    assert sorted(map(tuple, got)) == [r for r in rows if r[1] and sizes[r[1]] >= 2] and 1 in sizes.values()
