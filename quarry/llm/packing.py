@@ -83,25 +83,51 @@ def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
     the older goes when the younger is full. A worker keeps them from task to task. Texts are cut at single spaces,
     or by the pattern where a space stands between blanks. Texts with the special token's string, or with
     the control characters on whose being blank libraries differ, go through the tokenizer whole.
+    New words are cut once more, into runs of letters, digits or signs that the tokenizer's pattern cuts alike, and only new runs are
+    merged, by the tokenizer's model itself. Words that hold anything else, as apostrophes or other scripts, go through the whole tokenizer.
     """
     import re
+    import struct
 
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     t = Tokenizer.from_file(path)
-    pieces, odd = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall, re.compile(r"<\|endoftext\|>|[\x00\x1c-\x1f\x85]").search
+    pieces, odd = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall, ("<|endoftext|>", "\0", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
     among_blanks = re.compile(r" (?<=\s )(?:\s|\Z)").search
     young: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
     close = np.array([separator], "<u4").tobytes()
+    merge, byte_level = t.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    split = t.pre_tokenizer
+    known = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space and isinstance(t.model, models.BPE) and t.model.dropout is None and t.normalizer is None and t.post_processor is None
+    runs = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n").findall
+    spelt = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in [10, *range(32, 127), *range(0xC0, 0x250)]}
 
     def raw(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def run_ids(r: str) -> bytes:
+        if r not in young:
+            ids = None if r in old else [x.id for x in merge(r.translate(spelt))]
+            young[r] = old[r] if ids is None else struct.pack(f"<{len(ids)}I", *ids)
+        return young[r]
+
+    def learn(words: list[str]) -> None:
+        rest = []
+        for w in words:
+            own = runs(w) if known else []
+            if len(own) == 1 and own[0] == w:
+                run_ids(w)
+            elif "".join(own) == w and "\n\n" not in w:
+                young[w] = b"".join(map(run_ids, own))
+            else:
+                rest.append(w)
+        young.update(zip(rest, raw(rest), strict=True))
+
     def cut(text: str | None) -> list[str] | None:
         if not text:
             return []
-        if odd(text):
+        if any(c in text for c in odd):
             return None
         return pieces(text) if among_blanks(text) else text.replace(" ", "\0 ").split("\0")
 
@@ -115,8 +141,7 @@ def encoder(path: str, separator: int, most_words: int = MOST_WORDS):
             new = set().union(*[f for f in found if f])
         again = new.intersection(old)
         young.update((w, old[w]) for w in again)
-        new = list(new.difference(again))
-        young.update(zip(new, raw(new), strict=True))
+        learn(list(new.difference(again)))
         return [(raw([s])[0] if f is None else b"".join(map(young.__getitem__, f))) + close for s, f in zip(texts, found, strict=True)]
 
     return encode
