@@ -25,7 +25,7 @@ from .common import components, scratch, small_batches, stored
 
 BLOCKS = 4
 #: Vectors and numbers that a tile holds: a task compares two tiles at a time. Fewer vectors make LEAST_TILES tiles, unless these had under 512.
-TILE, VALUES, LEAST_TILES = 1 << 16, 1 << 22, 8
+TILE, VALUES, LEAST_TILES = 1 << 15, 1 << 21, 8
 #: Vectors of a part that is not halved any more, and candidates that are verified at once.
 LEAF, PIECE = 512, 50_000
 
